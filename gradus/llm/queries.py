@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, tokens, topk
+from . import mixing, tokens, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.query,
+        "op3_toxicity": toxicity.query,
         "op4_token_counts": tokens.query,
         "op6_exact_top_k": topk.query,
     }
