@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, tokens, topk, toxicity
+from . import mixing, ngram_join, tokens, topk, toxicity
 
 
 def queries() -> dict:
@@ -11,8 +11,9 @@ def queries() -> dict:
         "op3_toxicity": toxicity.query,
         "op4_token_counts": tokens.query,
         "op6_exact_top_k": topk.query,
+        "op10_ngram_join": ngram_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op6_exact_top_k": topk.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op6_exact_top_k": topk.SQL, "op10_ngram_join": ngram_join.SQL}
