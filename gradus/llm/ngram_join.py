@@ -1,10 +1,10 @@
 """N-gram Jaccard join: links of documents whose shingle sets are alike, and their components.
 
 1. Every document becomes a set of shingle hashes; equal sets are one class, and only its first document goes on.
-2. Routing. Sets that reach the threshold share a shingle among the first n - ceil(t n) + 1 of each, in any fixed
-   order: here the order of hashes. Sets that share none are done. For the rest, the corpus frequency of their
-   shingles is counted; sets with too many unshared shingles are done as well, and the prefix is taken anew, rarest
-   first. Sets that meet there form candidate groups.
+2. Routing. A set can only reach the threshold if ceil(t n) of its shingles occur in another document. Packed runs
+   of sorted hashes are dealt out by hash to find how many do; most sets are done then. For the rest, shingles are
+   counted exactly, and the first n - ceil(t n) + 1 of each set, rarest first, are its prefix: two sets that reach
+   the threshold share a shingle there. Sets that meet in a prefix form candidate groups.
 3. Signature trees. Within a group, a tree is built over the sets in blocks; nodes hold the OR of their sets' token
    bitmaps, a size range and the largest number of tokens that a bitmap hides. Two trees (or one with itself) are
    traversed together; a pair of nodes is left when even the largest possible overlap is too small, or when all its
@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_words, shingle_hashes, staged
+from .common import document_words, mix64, shingle_hashes, staged
 from .components import connected_components
 
 #: Sets in one block of a large candidate group.
@@ -117,8 +117,8 @@ def _bits(sets: list[np.ndarray]) -> int:
     return int(min(16384, max(256, 1 << (16 * max(map(len, sets)) - 1).bit_length())))
 
 
-def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2, prefix): set size, two fingerprints of the set, its prefix in hash order."""
+def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
+    """(doc_id, n_shingles, f1, f2): set size and two fingerprints of the set."""
 
     def run(batches):
         import pyarrow as pa
@@ -129,13 +129,115 @@ def shingle_sets(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 sets = [np.unique(shingle_hashes(words[at[i] : at[i + 1]], k)) for i in range(len(at) - 1)]
                 n = [len(s) for s in sets]
                 marks = [(int(s.sum().view(np.int64)), int(np.bitwise_xor.reduce(s * (s | np.uint64(1))).view(np.int64))) if len(s) else (0, 0) for s in sets]
-                prefix = [s[: len(s) - (percent * len(s) + 99) // 100 + 1].view(np.int64) if len(s) else s.view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array(n, pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                    names=["doc_id", "n_shingles", "f1", "f2", "prefix"],
+                    [ids.slice(first, len(sets)), pa.array(n, pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())],
+                    names=["doc_id", "n_shingles", "f1", "f2"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long")
+
+
+#: Documents in one packed run (the last number marks shingles that several of them have), and shingles dealt to a part.
+RUN_DOCS = 255
+PART_SHINGLES = 2_000_000
+_PIECE = "part long, run long, high binary, low binary, doc binary"
+
+
+def _pieces(k: int, parts: int):
+    """Packed runs: sorted 40-bit hashes of the documents' shingles by part, and one row of (ids, sizes, shared inside)."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            ids = batch.column("id").to_numpy(zero_copy_only=False)
+            for first, words, at in document_words(batch.column("text")):
+                for a in range(0, len(at) - 1, RUN_DOCS):
+                    b = min(a + RUN_DOCS, len(at) - 1)
+                    sets = [np.unique(shingle_hashes(words[at[i] : at[i + 1]], k)) for i in range(a, b)]
+                    sizes = np.array([len(s) for s in sets], np.int32)
+                    flat = np.concatenate(sets) >> np.uint64(24)
+                    order = np.argsort(flat, kind="stable")
+                    flat, doc = flat[order], np.repeat(np.arange(b - a), sizes)[order].astype(np.uint8)
+                    new = np.concatenate([[True], flat[1:] != flat[:-1]]) if len(flat) else np.zeros(0, bool)
+                    several = ~new | np.concatenate([~new[1:], [False]]) if len(flat) else new
+                    inside = np.bincount(doc[several], minlength=b - a).astype(np.int32)
+                    doc = np.where(several, RUN_DOCS, doc)[new].astype(np.uint8)
+                    flat = flat[new]
+                    mine = ids[first + a : first + b].astype(np.int64).tobytes()
+                    name = int(mix64(np.frombuffer(mine, np.uint64).copy()).sum().view(np.int64))
+                    part = ((flat >> np.uint64(8)) * np.uint64(parts)) >> np.uint64(32)
+                    cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(flat) else np.zeros(1, int)
+                    rows = {"part": [abs(name) % parts], "run": [name], "high": [None], "low": [mine], "doc": [sizes.tobytes() + inside.tobytes()]}
+                    for c, d in zip(cuts[:-1], cuts[1:], strict=True):
+                        h = flat[c:d]
+                        steps = np.diff((h >> np.uint64(16)).astype(np.int64), prepend=0).astype(np.uint32).tobytes()
+                        rows["part"].append(int(part[c]))
+                        rows["run"].append(name)
+                        rows["high"].append(len(h).to_bytes(4, "little") + codec.compress(steps, asbytes=True))
+                        rows["low"].append(h.astype(np.uint16).tobytes())
+                        rows["doc"].append(doc[c:d].tobytes())
+                    yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("part", pa.int64()), ("run", pa.int64()), ("high", pa.binary()), ("low", pa.binary()), ("doc", pa.binary())]))
+
+    return run
+
+
+def _count_shared(key, table):
+    """For each run in a part: how many shingles of each document occur in another run. Rows of ids pass through."""
+    import pyarrow as pa
+
+    codec = pa.Codec("zstd", 1)
+    runs, highs, lows, docs = (table.column(c).to_pylist() for c in ("run", "high", "low", "doc"))
+    out = {"run": [], "ids": [], "counts": []}
+    names, values, slots = [], [], []
+    for run, high, low, doc in zip(runs, highs, lows, docs, strict=True):
+        if high is None:
+            out["run"].append(run), out["ids"].append(low), out["counts"].append(doc)
+            continue
+        n = int.from_bytes(high[:4], "little")
+        top = np.cumsum(np.frombuffer(codec.decompress(high[4:], 4 * n, asbytes=True), np.uint32).astype(np.uint64))
+        values.append(top << np.uint64(16) | np.frombuffer(low, np.uint16).astype(np.uint64))
+        slots.append(np.frombuffer(doc, np.uint8).astype(np.int64) + len(names) * (RUN_DOCS + 1))
+        names.append(run)
+    if names:
+        value, slot = np.concatenate(values), np.concatenate(slots)
+        order = np.argsort(value, kind="stable")
+        value = value[order]
+        again = value[1:] == value[:-1]
+        several = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+        counts = np.bincount(slot[order[several]], minlength=len(names) * (RUN_DOCS + 1)).reshape(-1, RUN_DOCS + 1)
+        for i in np.flatnonzero(counts[:, :RUN_DOCS].any(1)):
+            out["run"].append(names[i]), out["ids"].append(None), out["counts"].append(counts[i, :RUN_DOCS].astype(np.int32).tobytes())
+    return pa.table(out, schema=pa.schema([("run", pa.int64()), ("ids", pa.binary()), ("counts", pa.binary())]))
+
+
+def _mostly_shared(percent: int):
+    def run(key, table):
+        import pyarrow as pa
+
+        ids, counts = table.column("ids").to_pylist(), [np.frombuffer(x, np.int32) for x in table.column("counts").to_pylist()]
+        found = []
+        # of runs with the same documents, and so the same name, each row of ids is one
+        shared = sum((c for i, c in zip(ids, counts, strict=True) if i is None), np.zeros(RUN_DOCS, np.int64))
+        for mine, c in zip(ids, counts, strict=True):
+            if mine is not None:
+                size, inside = c.reshape(2, -1)
+                found.append(np.frombuffer(mine, np.int64)[(size > 0) & (100 * (inside + shared[: len(size)]) >= percent * size)])
+        return pa.table({"id": np.concatenate(found) if found else np.zeros(0, np.int64)})
+
+    return run
+
+
+def with_shared_shingles(docs: DataFrame, k: int, percent: int, total: int) -> DataFrame:
+    """Ids of the documents (id, text) of which at least ``percent`` of the shingles occur in another row, and of few others.
+
+    Only 40 bits of a hash are compared, so that a few more may be returned, never fewer.
+    """
+    parts = max(16, -(-total // PART_SHINGLES))
+    pieces = docs.mapInArrow(_pieces(k, parts), _PIECE)
+    counts = pieces.groupBy("part").applyInArrow(_count_shared, "run long, ids binary, counts binary")
+    return counts.groupBy("run").applyInArrow(_mostly_shared(percent), "id long")
 
 
 def _whole_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -189,10 +291,10 @@ def _meetings(grouped: DataFrame, percent: int, pack: int) -> DataFrame:
 def similar_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): links that connect just what all links at the threshold connect; ``sets`` are those of the class representatives."""
     spark = docs.sparkSession
-    posts = sets.select(F.col("doc_id").alias("id"), F.explode("prefix").alias("token"))
-    shared = posts.groupBy("token").count().where("count > 1").select("token")
-    met = staged(posts.join(shared, "token").select("id").distinct())
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(met, "id")
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    named = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    met = with_shared_shingles(named, k, percent, total).join(sets.select(F.col("doc_id").alias("id")), "id", "left_semi")
+    texts = named.join(staged(met.distinct()), "id")
     # ids are unique here: a representative is the smallest of its class; of repeated rows any will do
     whole = staged(_whole_sets(texts, k).dropDuplicates(["id"]))
     rows = whole.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -240,7 +342,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     union; component_id is the smallest doc_id reachable. Rows that repeat a doc_id are one node each in the same
     component as that id's first row if their sets link; rows with a null doc_id are alone with a null component.
     """
-    sets = staged(shingle_sets(docs, k, percent))
+    sets = staged(shingle_sets(docs, k))
     named = sets.where("n_shingles > 0 and doc_id is not null")
     classes = named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first_id"))
     classes = staged(classes)
@@ -249,7 +351,7 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     links = similar_links(docs, reps, k, percent)
     parts = connected_components(links).withColumnRenamed("id", "first_id")
     found = classes.join(parts, "first_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "first_id").alias("component_id"))
-    out = sets.drop("prefix").join(found, ["n_shingles", "f1", "f2"], "left")
+    out = sets.join(found, ["n_shingles", "f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
