@@ -14,6 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes between words where punctuation counts as space: all ASCII but letters and digits.
+_PUNCTUATED = np.ones(256, bool)
+_PUNCTUATED[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _LOWER = np.arange(256, dtype=np.uint64)
 _LOWER[65:91] += 32
 _ODD = 0x9E3779B97F4A7C15
@@ -81,10 +84,10 @@ def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
         first = last
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words of the documents that ``offsets`` (from 0) delimit in ``data``, and n + 1 word offsets."""
+def word_spans(data: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words of the documents that ``offsets`` (from 0) delimit in ``data``, and n + 1 word offsets; ``punctuation`` separates words too if asked."""
     inside = np.zeros(len(data) + 2, bool)
-    inside[1:-1] = ~_SPACE[data]
+    inside[1:-1] = ~(_PUNCTUATED if punctuation else _SPACE)[data]
     first = inside[1:-1] & ~inside[:-2]
     final = inside[1:-1] & ~inside[2:]
     edges = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(data))]
@@ -102,13 +105,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
 
 
-def document_words(column, lower: bool = True):
+def document_words(column, lower: bool = True, punctuation: bool = False):
     """For runs of documents: (first document, word hashes, n + 1 word offsets)."""
     data, offsets = string_buffers(column)
     for first, last in chunks(offsets):
         part = data[offsets[first] : offsets[last]]
         at = offsets[first : last + 1] - offsets[first]
-        starts, ends, words = word_spans(part, at)
+        starts, ends, words = word_spans(part, at, punctuation)
         yield first, word_hashes(part, starts, ends, lower), words
 
 
@@ -123,3 +126,23 @@ def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
         out += words[j : n - k + 1 + j] * np.uint64(factor)
         factor = factor * _STEP % (1 << 64)
     return mix64(out + np.uint64(k))
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys: the steps of their upper bits compressed, the rest as it is."""
+    import pyarrow as pa
+
+    steps = np.diff((keys >> np.uint64(40)).astype(np.int64), prepend=0).astype(np.uint32).tobytes()
+    head = pa.Codec("zstd", 1).compress(steps, asbytes=True)
+    low = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+    return len(keys).to_bytes(4, "little") + len(head).to_bytes(4, "little") + head + low
+
+
+def unpack_sorted(blob: bytes) -> np.ndarray:
+    import pyarrow as pa
+
+    n, size = int.from_bytes(blob[:4], "little"), int.from_bytes(blob[4:8], "little")
+    steps = np.frombuffer(pa.Codec("zstd", 1).decompress(blob[8 : 8 + size], 4 * n, asbytes=True), np.uint32)
+    keys = np.zeros((n, 8), np.uint8)
+    keys[:, :5] = np.frombuffer(blob, np.uint8, offset=8 + size).reshape(n, 5)
+    return keys.view("<u8").ravel().astype(np.uint64) | np.cumsum(steps.astype(np.uint64)) << np.uint64(40)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, ngram_join, tokens, topk, toxicity
+from . import decontaminate, licenses, lm_scores, mixing, ngram_join, tokens, topk, toxicity
 
 
 def queries() -> dict:
@@ -10,10 +10,13 @@ def queries() -> dict:
         "op1_mix_sources": mixing.query,
         "op3_toxicity": toxicity.query,
         "op4_token_counts": tokens.query,
+        "op5_lm_scores": lm_scores.query,
         "op6_exact_top_k": topk.query,
+        "op7_decontaminate": decontaminate.query,
+        "op8_license_scan": licenses.query,
         "op10_ngram_join": ngram_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op6_exact_top_k": topk.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op5_lm_scores": lm_scores.SQL, "op6_exact_top_k": topk.SQL, "op10_ngram_join": ngram_join.SQL}
