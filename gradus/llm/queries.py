@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, lm_scores, mixing, ngram_join, tokens, topk, toxicity
+from . import decontaminate, licenses, line_dedup, lm_scores, mixing, ngram_join, tokens, topk, toxicity
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op6_exact_top_k": topk.query,
         "op7_decontaminate": decontaminate.query,
         "op8_license_scan": licenses.query,
+        "op9_line_dedup": line_dedup.query,
         "op10_ngram_join": ngram_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op5_lm_scores": lm_scores.SQL, "op6_exact_top_k": topk.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op5_lm_scores": lm_scores.SQL, "op6_exact_top_k": topk.SQL, "op9_line_dedup": line_dedup.SQL, "op10_ngram_join": ngram_join.SQL}
