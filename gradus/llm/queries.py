@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, lm_scores, mixing, ngram_join, tokens, topk, toxicity
+from . import decontaminate, licenses, line_dedup, lm_scores, mixing, ngram_join, suffix_dedup, tokens, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_mix_sources": mixing.query,
+        "op2_suffix_dedup": suffix_dedup.query,
         "op3_toxicity": toxicity.query,
         "op4_token_counts": tokens.query,
         "op5_lm_scores": lm_scores.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op5_lm_scores": lm_scores.SQL, "op6_exact_top_k": topk.SQL, "op9_line_dedup": line_dedup.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffix_dedup.SQL, "op5_lm_scores": lm_scores.SQL, "op6_exact_top_k": topk.SQL, "op9_line_dedup": line_dedup.SQL, "op10_ngram_join": ngram_join.SQL}
