@@ -1,7 +1,7 @@
 """Suffix-array deduplication: removal of every byte that a long repeated string covers.
 
 A start is repeated if its ``length`` bytes also start anywhere else. All starts whose window has the same minimum of
-16-byte hashes meet in one part of the work (equal windows have equal minima), with just the bytes around them.
+64-byte hashes meet in one part of the work (equal windows have equal minima), with just the bytes around them.
 Documents of equal text are one; equal stretches around a minimum are one as well.
 
 In a part, the stretches are laid end to end and sorted by suffix to the depth needed; their Burrows-Wheeler transform
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import chunks, mix64, staged, string_buffers
 
 LENGTH = 400
-GRAM = 16
+GRAM = 64
 #: Bytes of stretches in a part.
 PART_BYTES = 3_000_000
 #: Intervals up to this size are expanded element by element.
@@ -30,7 +30,7 @@ SMALL = 24
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
-    """Hashes of the 16 bytes from each place."""
+    """Hashes of the GRAM bytes from each place."""
     h, step = data.astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15
     width = 1
     while width < GRAM:
@@ -103,7 +103,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
     for j in range(7):
         key <<= np.uint64(9)
         key[: max(0, n - j)] |= symbols[j:].astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
     first = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.zeros(n + 1, np.int64)
@@ -117,7 +117,7 @@ def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
         places = order[slots]
         after = rank[np.minimum(places + done, n)]
         key = rank[places] << 32 | after
-        by = np.argsort(key, kind="stable")
+        by = np.argsort(key)
         places, key = places[by], key[by]
         order[slots] = places
         changed = np.concatenate([[True], key[1:] != key[:-1]])
@@ -141,6 +141,9 @@ def long_neighbours(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     left, right = np.array([0]), np.array([n])
+    source = np.zeros(n, np.int64)
+    opens = np.zeros(n + 1, bool)
+    opens[bounds] = True
     for level in range(length):
         size = right - left
         found = []
@@ -158,25 +161,27 @@ def long_neighbours(symbols: np.ndarray, order: np.ndarray, length: int) -> np.n
             count = size[small]
             owner = np.repeat(np.arange(len(small)), count)
             place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(left[small], count)
-            c = bwt[place]
             if level:
-                keep = c > 0
-                owner, place, c = owner[keep], place[keep], c[keep]
-            # elements of one interval with one symbol go to neighbours, in their order
-            _, at, many = np.unique(owner * 512 + c, return_index=True, return_counts=True)
-            start = forward[place[at]]
-            found.append((start, start + many))
+                keep = bwt[place] > 0
+                owner, place = owner[keep], place[keep]
+            # elements of one interval with one symbol go to neighbours
+            target = forward[place]
+            source[target] = owner
+            target.sort()
+            owner = source[target]
+            begins = np.ones(len(target), bool)
+            begins[1:] = (target[1:] != target[:-1] + 1) | (owner[1:] != owner[:-1]) | opens[target[1:]]
+            at = np.flatnonzero(begins)
+            if len(at):
+                found.append((target[at], target[np.append(at[1:], len(target)) - 1] + 1))
         if not found:
             break
         left = np.concatenate([a for a, _ in found])
         right = np.concatenate([b for _, b in found])
         fresh = ~known[right]
-        left, right = left[fresh], right[fresh]
+        left, right = left[fresh], right[fresh]  # intervals of one level are disjoint
         if not len(right):
             break
-        # an end can be met by several intervals of a level; any one of them may go on
-        right, at = np.unique(right, return_index=True)
-        left = left[at]
         known[right] = True
     return ~known[:n]
 
