@@ -11,6 +11,8 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's owner splits a text before merging (a fixed value of that tokenizer).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -81,4 +83,4 @@ def context_report(histogram: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return context_report(length_histogram(encoded_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+    return context_report(staged(length_histogram(encoded_lengths(spark.read.parquet(f"{sf_dir}/documents.parquet")))))
