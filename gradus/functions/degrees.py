@@ -12,67 +12,64 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_one, _zero = F.lit(1.0), F.lit(0.0)
-
-
 def known(degree: Column) -> Column:
-    return F.coalesce(degree, _one)
+    return F.coalesce(degree, F.lit(1.0))
 
 
 T_NORMS: dict[str, Callable[[Column, Column], Column]] = {
     "algebraic": lambda a, b: a * b,
     "min": lambda a, b: F.least(a, b),
-    "lukasiewicz": lambda a, b: F.greatest(a + b - 1, _zero),
+    "lukasiewicz": lambda a, b: F.greatest(a + b - 1, F.lit(0.0)),
 }
 S_NORMS: dict[str, Callable[[Column, Column], Column]] = {
     "algebraic": lambda a, b: a + b - a * b,
     "max": lambda a, b: F.greatest(a, b),
-    "lukasiewicz": lambda a, b: F.least(_one, a + b),
+    "lukasiewicz": lambda a, b: F.least(F.lit(1.0), a + b),
     "einstein": lambda a, b: (a + b) / (1 + a * b),
-    "drastic": lambda a, b: F.when(a == 0, b).when(b == 0, a).otherwise(_one),
+    "drastic": lambda a, b: F.when(a == 0, b).when(b == 0, a).otherwise(F.lit(1.0)),
     "sum": lambda a, b: a + b,
 }
 IMPLICATORS: dict[str, Callable[[Column, Column], Column]] = {
-    "lukasiewicz": lambda a, b: F.least(_one, 1 - a + b),
+    "lukasiewicz": lambda a, b: F.least(F.lit(1.0), 1 - a + b),
     "kleene_dienes": lambda a, b: F.greatest(1 - a, b),
     "reichenbach": lambda a, b: 1 - a + a * b,
-    "goedel": lambda a, b: F.when(a <= b, _one).otherwise(b),
-    "gaines": lambda a, b: F.when(a <= b, _one).otherwise(F.try_divide(b, a)),
+    "goedel": lambda a, b: F.when(a <= b, F.lit(1.0)).otherwise(b),
+    "gaines": lambda a, b: F.when(a <= b, F.lit(1.0)).otherwise(F.try_divide(b, a)),
 }
 DUAL = {"algebraic": "algebraic", "min": "max", "lukasiewicz": "lukasiewicz"}
 
 
 def t_norm_generalised(alpha: float):
-    return lambda a, b: F.pow(F.greatest(_zero, F.pow(a, F.lit(alpha)) + F.pow(b, F.lit(alpha)) - 1), F.lit(1 / alpha))
+    return lambda a, b: F.pow(F.greatest(F.lit(0.0), F.pow(a, F.lit(alpha)) + F.pow(b, F.lit(alpha)) - 1), F.lit(1 / alpha))
 
 
 def s_norm_generalised(alpha: float):
-    return lambda a, b: F.pow(F.least(_one, F.pow(a, F.lit(alpha)) + F.pow(b, F.lit(alpha))), F.lit(1 / alpha))
+    return lambda a, b: F.pow(F.least(F.lit(1.0), F.pow(a, F.lit(alpha)) + F.pow(b, F.lit(alpha))), F.lit(1 / alpha))
 
 
 def implicator_generalised(alpha: float):
-    return lambda a, b: F.pow(F.least(_one, 1 - F.pow(a, F.lit(alpha)) + F.pow(b, F.lit(alpha))), F.lit(1 / alpha))
+    return lambda a, b: F.pow(F.least(F.lit(1.0), 1 - F.pow(a, F.lit(alpha)) + F.pow(b, F.lit(alpha))), F.lit(1 / alpha))
 
 
 def fold(norm: str | Callable, degrees: list[Column]) -> Column:
     """The T-norm of all degrees; 1 for none."""
-    return reduce(T_NORMS[norm] if isinstance(norm, str) else norm, degrees) if degrees else _one
+    return reduce(T_NORMS[norm] if isinstance(norm, str) else norm, degrees) if degrees else F.lit(1.0)
 
 
 def triangular(x: Column, a: float, b: float, c: float) -> Column:
-    return F.greatest(_zero, F.least((x - a) / (b - a), (c - x) / (c - b)))
+    return F.greatest(F.lit(0.0), F.least((x - a) / (b - a), (c - x) / (c - b)))
 
 
 def trapezoidal(x: Column, a: float, b: float, c: float, d: float) -> Column:
-    return F.greatest(_zero, F.least((x - a) / (b - a), _one, (d - x) / (d - c)))
+    return F.greatest(F.lit(0.0), F.least((x - a) / (b - a), F.lit(1.0), (d - x) / (d - c)))
 
 
 def left_shoulder(x: Column, a: float, b: float) -> Column:
-    return F.greatest(_zero, F.least(_one, (b - x) / (b - a)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (b - x) / (b - a)))
 
 
 def right_shoulder(x: Column, a: float, b: float) -> Column:
-    return F.greatest(_zero, F.least(_one, (x - a) / (b - a)))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x - a) / (b - a)))
 
 
 def gaussian(x: Column, mean: float, sd: float) -> Column:
@@ -90,10 +87,10 @@ def _sd(stats: dict) -> float:
 
 #: Similarity of two values of an attribute with statistics min, max, sd; equality for labels.
 SIMILARITIES: dict[str, Callable[[Column, Column, dict], Column]] = {
-    "linear": lambda x, y, s: F.greatest(_zero, 1 - F.abs(x - y) / _range(s)),
+    "linear": lambda x, y, s: F.greatest(F.lit(0.0), 1 - F.abs(x - y) / _range(s)),
     "gaussian": lambda x, y, s: F.exp(-((x - y) * (x - y)) / (2 * _sd(s) ** 2)),
-    "tolerance": lambda x, y, s: F.greatest(F.least((y - (x - _sd(s))) / _sd(s), ((x + _sd(s)) - y) / _sd(s)), _zero),
-    "slope": lambda x, y, s: F.greatest(_zero, F.least(_one, s.get("beta", 1.0) - s.get("alpha", 0.5) * F.abs(x - y) / _range(s))),
+    "tolerance": lambda x, y, s: F.greatest(F.least((y - (x - _sd(s))) / _sd(s), ((x + _sd(s)) - y) / _sd(s)), F.lit(0.0)),
+    "slope": lambda x, y, s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.get("beta", 1.0) - s.get("alpha", 0.5) * F.abs(x - y) / _range(s))),
     "equal": lambda x, y, s: (x == y).cast("double"),
     "squared": lambda x, y, s: (x - y) * (x - y),
 }
@@ -102,4 +99,4 @@ SIMILARITIES: dict[str, Callable[[Column, Column, dict], Column]] = {
 def quantifier(x: Column, alpha: float = 0.2, beta: float = 1.0) -> Column:
     """Vague 'most': 0 up to alpha, a quadratic S to 1 at beta."""
     mid, width = (alpha + beta) / 2, (beta - alpha) ** 2
-    return F.when(x <= alpha, _zero).when(x <= mid, 2 * (x - alpha) * (x - alpha) / width).when(x <= beta, 1 - 2 * (x - beta) * (x - beta) / width).otherwise(_one)
+    return F.when(x <= alpha, F.lit(0.0)).when(x <= mid, 2 * (x - alpha) * (x - alpha) / width).when(x <= beta, 1 - 2 * (x - beta) * (x - beta) / width).otherwise(F.lit(1.0))
