@@ -394,9 +394,9 @@ def results(df):
     return df.groupBy(F.col("o_orderpriority").alias("dataset"), F.col("o_orderstatus").alias("scheme"), F.year("o_orderdate").alias("run"), F.month("o_orderdate").alias("fold")).agg(F.max("o_totalprice").alias("value"))
 
 
-@query(RESULTS + " SELECT dataset, scheme, run, count(*) AS n, round(avg(value), 4) AS avg_value, round(stddev_samp(value), 4) AS sd_value FROM r GROUP BY ALL", "orders")
+@query(RESULTS + " SELECT dataset, scheme, run, count(*) AS n, round(avg(value), 6) AS avg_value, round(stddev_samp(value), 6) AS sd_value FROM r GROUP BY ALL", "orders")
 def averaged_results(df):
-    return rounded(X.averaged(results(df), ["dataset", "scheme", "run"], ["value"]), 4)
+    return rounded(X.averaged(results(df), ["dataset", "scheme", "run"], ["value"]), 6)
 
 
 @query(RESULTS + """, d AS (SELECT a.dataset, b.scheme, a.value AS x, b.value AS y FROM r a JOIN r b USING (dataset, run, fold) WHERE a.scheme = 'F' AND b.scheme <> 'F')
