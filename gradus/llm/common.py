@@ -25,6 +25,8 @@ _POWERS = np.ones(1, np.uint64), np.ones(1, np.uint64)
 #: Multipliers by position inside a shingle: powers of an odd number, so any shingle length works.
 _STEP = 0xD6E8FEB86659FD93
 CHUNK_BYTES = 1 << 20
+#: Whether shuffle files go when the query that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def staging_dir(spark: SparkSession) -> str:
@@ -36,9 +38,17 @@ def staging_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back: lineage ends there, lost executors cost no recomputation."""
-    path = f"{staging_dir(df.sparkSession)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """``df`` written as a table in the shared folder and read back: lineage ends there, lost executors cost no recomputation.
+
+    Its shuffle files go as soon as the table is whole, for nothing reads them any more.
+    """
+    conf, path = df.sparkSession.conf, f"{staging_dir(df.sparkSession)}/{uuid.uuid4().hex}"
+    before = conf.get(CLEANUP, "false")
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
