@@ -1,10 +1,9 @@
 """License scans: which license notices a document holds.
 
-For each length class of the templates, overlapping windows of words get MinHash values, one for each of BANDS bands of
-one row. A window that holds a template has Jaccard similarity of at least inner / (inner + stride - 1) with it, above
-0.7 by the choice of stride, and collides with probability 1 - (1 - J)**BANDS: over 0.99999 for whole notices, over
-0.999 where a fifth of a notice's shingles are lost. Retrieved templates are verified by exact containment: the share
-of the template's shingles inside the window.
+Every shingle of every template is indexed. The places where a document has a template's shingle are found exactly, and
+the template's containment is the share of its distinct shingles inside one stretch of the document, the best over all
+stretches of SPAN times the template's length. Nothing is sampled, so a notice is found wherever it begins, and with
+words put in between as long as the threshold and the stretch let them.
 """
 
 from __future__ import annotations
@@ -17,7 +16,10 @@ from .common import document_words, shingle_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
-BANDS = 10
+#: Length of a stretch in lengths of its template: as much again as the template may stand in between.
+SPAN = 2
+#: Places of the table that sorts out most shingles at once.
+_QUICK = 1 << 20
 #: Notices in common use (fixed wordings).
 TEMPLATES = {
     "gpl-3": "This work is licensed under the GNU General Public License, version 3.",
@@ -37,88 +39,105 @@ TEMPLATES = {
 
 
 def _templates(templates: dict[str, str]):
+    """(name, width, distinct shingles, number of shingles) of each; with fewer words than a shingle, all are one."""
     import pyarrow as pa
 
     names, texts = list(templates), pa.array(list(templates.values()), pa.large_string())
     out = []
     for first, words, at in document_words(texts, punctuation=True):
         for i in range(len(at) - 1):
-            if at[i + 1] - at[i] >= SHINGLE:
-                out.append((names[first + i], np.unique(shingle_hashes(words[at[i] : at[i + 1]], SHINGLE)), int(at[i + 1] - at[i])))
-            else:
-                raise ValueError(f"a template needs {SHINGLE} words: {names[first + i]}")
+            mine = words[at[i] : at[i + 1]]
+            if not len(mine):
+                raise ValueError(f"a template needs words: {names[first + i]}")
+            width = min(SHINGLE, len(mine))
+            out.append((names[first + i], width, np.unique(shingle_hashes(mine, width)), len(mine) - width + 1))
     return out
 
 
-def _stride(inner: int) -> int:
-    return 1 + inner // 4
-
-
-def _permuted(hashes: np.ndarray, band: int) -> np.ndarray:
-    return (hashes ^ (hashes >> np.uint64(29 + band))) * np.uint64(pow(0xD1342543DE82EF95, 2 * band + 1, 1 << 64))
+def _index(known) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each width: its templates' shingles in order, and the templates of each from ``starts`` on in ``owners``."""
+    out = {}
+    for width in sorted({w for _, w, _, _ in known}):
+        mine = [i for i, x in enumerate(known) if x[1] == width]
+        shingles = np.concatenate([known[i][2] for i in mine])
+        owners = np.repeat(mine, [len(known[i][2]) for i in mine])
+        order = np.argsort(shingles, kind="stable")
+        tokens, starts = np.unique(shingles[order], return_index=True)
+        out[width] = tokens, np.append(starts, len(shingles)), owners[order]
+    return out
 
 
-def _sliding_minimum(x: np.ndarray, width: int) -> np.ndarray:
-    done, out = 1, x
-    while 2 * done <= width:
-        out = np.minimum(out[: len(out) - done], out[done:])
-        done *= 2
-    return np.minimum(out[: len(out) - (width - done)], out[width - done :]) if done < width else out
+def _quick(tokens: np.ndarray) -> np.ndarray:
+    table = np.zeros(_QUICK, bool)
+    table[(tokens & np.uint64(_QUICK - 1)).astype(np.int64)] = True
+    return table
+
+
+def best_stretch(places: np.ndarray, tokens: np.ndarray, span: int) -> tuple[int, int]:
+    """(distinct tokens, first place) of the stretch of ``span`` places with most tokens; of equals the shortest, then the first."""
+    at, of = places.tolist(), tokens.tolist()
+    held: dict[int, int] = {}
+    left, best = 0, (0, 0, 0)
+    for place, token in zip(at, of, strict=True):
+        held[token] = held.get(token, 0) + 1
+        while at[left] <= place - span or held[of[left]] > 1:
+            held[of[left]] -= 1
+            if not held[of[left]]:
+                del held[of[left]]
+            left += 1
+        best = min(best, (-len(held), place - at[left], at[left]))
+    return -best[0], best[2]
+
+
+def _hits(words: np.ndarray, at: np.ndarray, index, quick) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(document, template, place, token) of all template shingles of a run of documents, in that order."""
+    found = []
+    for width, (tokens, starts, owners) in index.items():
+        if len(words) < width:
+            continue
+        shingles = shingle_hashes(words, width)
+        hit = np.flatnonzero(quick[width][(shingles & np.uint64(_QUICK - 1)).astype(np.int64)])
+        token = np.minimum(np.searchsorted(tokens, shingles[hit]), len(tokens) - 1)
+        doc = np.searchsorted(at, hit, "right") - 1
+        # shingles across two documents are none
+        real = (tokens[token] == shingles[hit]) & (hit + width <= at[doc + 1])
+        hit, token, doc = hit[real], token[real], doc[real]
+        times = starts[token + 1] - starts[token]
+        which = np.repeat(starts[token], times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        found.append((np.repeat(doc, times), owners[which], np.repeat(hit, times), np.repeat(token, times)))
+    doc, template, place, token = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+    order = np.lexsort((place, template, doc))
+    return doc[order], template[order], place[order], token[order]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, license, containment, start_word) for each notice that a row of ``docs`` holds, with its best window.
+    """(doc_id, license, containment, start_word) for each notice that a row of ``docs`` holds, with its best stretch.
 
-    Words are lower-cased runs of letters and digits. Documents shorter than a shingle, null or empty hold nothing;
-    one that is shorter than a window is one window. Repeated rows each have their own; other columns are ignored.
+    Words are lower-cased runs of letters and digits. A template of fewer words than a shingle is one shingle of all
+    its words. Documents shorter than that, null or empty hold nothing. Repeated rows each have their own; other
+    columns are ignored.
     """
     known = _templates(TEMPLATES if templates is None else templates)
-    classes: dict[int, list[int]] = {}
-    for i, (_, shingles, size) in enumerate(known):
-        classes.setdefault(max(1, size - SHINGLE + 1), []).append(i)
-        assert len(shingles)
-    signatures = {}
-    for inner, members in classes.items():
-        for band in range(BANDS):
-            keys = np.array([_permuted(known[i][1], band).min() for i in members], np.uint64)
-            quick = np.zeros(1 << 16, bool)
-            quick[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
-            signatures[inner, band] = keys, quick
+    index = _index(known)
+    needs = np.array([len(shingles) for _, _, shingles, _ in known])
 
     def run(batches):
         import pyarrow as pa
 
+        quick = {width: _quick(tokens) for width, (tokens, _, _) in index.items()}
         for batch in batches:
             out = {"at": [], "license": [], "containment": [], "start_word": []}
             for first, words, at in document_words(batch.column("text"), punctuation=True):
-                best: dict[tuple[int, int], tuple[float, int]] = {}
-                shingles = shingle_hashes(words, SHINGLE) if len(words) >= SHINGLE else np.zeros(0, np.uint64)
-                # shingles across two documents are none
-                doc = np.searchsorted(at, np.arange(len(shingles)), "right") - 1
-                real = np.arange(len(shingles)) + SHINGLE <= at[doc + 1] if len(shingles) else np.zeros(0, bool)
-                for band in range(BANDS):
-                    values = np.where(real, _permuted(shingles, band), np.uint64(2**64 - 1))
-                    for inner, members in classes.items():
-                        stride = _stride(inner)
-                        width = inner + stride - 1
-                        padded = np.concatenate([values, np.full(width, 2**64 - 1, np.uint64)])
-                        least = _sliding_minimum(padded, width)[: len(values) : stride]
-                        keys, quick = signatures[inner, band]
-                        hit = np.flatnonzero(quick[(least & np.uint64(0xFFFF)).astype(np.int64)])
-                        for w in hit[np.isin(least[hit], keys)]:
-                            a = int(w) * stride
-                            inside = np.arange(a, min(a + width, len(shingles)))
-                            inside = inside[real[inside]]
-                            for i in (m for m, key in zip(members, keys, strict=True) if key == least[w]):
-                                for d in np.unique(doc[inside]):
-                                    mine = inside[doc[inside] == d]
-                                    match = np.isin(known[i][1], shingles[mine]).mean()
-                                    start = int(mine[np.isin(shingles[mine], known[i][1])].min(initial=2**40))
-                                    if match >= threshold and (-match, start) < best.get((int(d), i), (0.0, 0)):
-                                        best[int(d), i] = -match, start
-                for (d, i), (match, start) in sorted(best.items()):
-                    for name, value in zip(out, (first + d, known[i][0], -match, int(start - at[d])), strict=True):
-                        out[name].append(value)
+                doc, template, place, token = _hits(words, at, index, quick)
+                edges = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(template, prepend=-1))
+                ends = np.append(edges[1:], len(doc))
+                enough = (ends - edges) / needs[template[edges]] >= threshold
+                for a, b in zip(edges[enough], ends[enough], strict=True):
+                    d, i = int(doc[a]), int(template[a])
+                    held, start = best_stretch(place[a:b], token[a:b], SPAN * known[i][3])
+                    if held / needs[i] >= threshold:
+                        for name, value in zip(out, (first + d, known[i][0], float(held / needs[i]), int(start - at[d])), strict=True):
+                            out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(out["at"], pa.int64())), pa.array(out["license"], pa.string()), pa.array(out["containment"], pa.float64()), pa.array(out["start_word"], pa.int64())],
                 names=["doc_id", "license", "containment", "start_word"],

@@ -213,3 +213,30 @@ def test_pipeline(spark, sf):
         docs = stage(spark, docs, sf)
         assert docs.columns == spark.read.parquet(f"{sf}/documents.parquet").columns
         docs = common.staged(docs)
+
+
+MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'
+
+
+def contained(text, template, span=licenses.SPAN):
+    """The best share of a template's shingles in a stretch, by trying every stretch."""
+    w, t = ([x for x in re.split("[^a-z0-9\x80-\U0010ffff]+", s.lower()) if x] for s in (text, template))
+    k = min(5, len(t))
+    has = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
+    wanted = {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}
+    return max((len(wanted & set(has[i : i + span * (len(t) - k + 1)])) / len(wanted) for i in range(len(has))), default=0.0)
+
+
+def test_license_scan_of_altered_notices_at_every_offset(spark):
+    r = random.Random(4)
+    docs = []
+    for n, text in enumerate([*licenses.TEMPLATES.values(), MIT_GRANT]):
+        for offset in range(14):
+            w = text.split()
+            for _ in range(offset % 3):
+                w.insert(r.randrange(len(w)), r.choice(WORDS))
+            docs.append((len(docs), " ".join([*WORDS[:offset], *w, *WORDS[20:30]])))
+    found = {(x["doc_id"], x["license"]): x["containment"] for x in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), licenses.TEMPLATES).collect()}
+    expected = {(d, name): c for d, text in docs for name, t in licenses.TEMPLATES.items() if (c := contained(text, t)) >= 0.8}
+    assert found == pytest.approx(expected)
+    assert all((d, "mit-grant") in found for d in range(len(docs) - 14, len(docs), 3))
