@@ -1,4 +1,4 @@
-"""License scans: which license notices a document holds.
+"""License scans: which license notices and license texts a document holds.
 
 Every shingle of every template is indexed. The places where a document has a template's shingle are found exactly, and
 the template's containment is the share of its distinct shingles inside one stretch of the document, the best over all
@@ -8,6 +8,8 @@ words put in between as long as the threshold and the stretch let them.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,9 +37,31 @@ TEMPLATES = {
     "mpl-2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "all-rights": "No part of this publication may be reproduced without prior written permission of the publisher.",
     "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.",
+    "all-rights-reserved": "All rights reserved.",
+    "cc-by-4": "CC BY 4.0",
+    "cc-by-nc-sa-4": "CC BY-NC-SA 4.0",
+    "cc-by-nc-nd-4": "CC BY-NC-ND 4.0",
+    "cc0-1": "CC0 1.0",
+    "spdx-mit": "SPDX-License-Identifier: MIT",
+    "spdx-apache-2": "SPDX-License-Identifier: Apache-2.0",
+    "spdx-bsd-2": "SPDX-License-Identifier: BSD-2-Clause",
+    "spdx-bsd-3": "SPDX-License-Identifier: BSD-3-Clause",
+    "spdx-isc": "SPDX-License-Identifier: ISC",
+    "spdx-mpl-2": "SPDX-License-Identifier: MPL-2.0",
+    "spdx-gpl-2": "SPDX-License-Identifier: GPL-2.0",
+    "spdx-gpl-3": "SPDX-License-Identifier: GPL-3.0",
+    "spdx-lgpl-3": "SPDX-License-Identifier: LGPL-3.0",
+    "spdx-agpl-3": "SPDX-License-Identifier: AGPL-3.0",
 }
 
 
+def license_texts() -> dict[str, str]:
+    """The whole license texts in ``license_texts``, each named ``text-`` and its file."""
+    folder = files(__package__) / "license_texts"
+    return {f"text-{f.name[:-4]}": f.read_text() for f in sorted(folder.iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
+
+
+
 def _templates(templates: dict[str, str]):
     """(name, width, distinct shingles, number of shingles) of each; with fewer words than a shingle, all are one."""
     import pyarrow as pa
@@ -115,9 +139,9 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
 
     Words are lower-cased runs of letters and digits. A template of fewer words than a shingle is one shingle of all
     its words. Documents shorter than that, null or empty hold nothing. Repeated rows each have their own; other
-    columns are ignored.
+    columns are ignored. ``templates`` are the notices and license texts of this package if None.
     """
-    known = _templates(TEMPLATES if templates is None else templates)
+    known = _templates(TEMPLATES | license_texts() if templates is None else templates)
     index = _index(known)
     needs = np.array([len(shingles) for _, _, shingles, _ in known])
 

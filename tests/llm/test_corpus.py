@@ -240,3 +240,15 @@ def test_license_scan_of_altered_notices_at_every_offset(spark):
     expected = {(d, name): c for d, text in docs for name, t in licenses.TEMPLATES.items() if (c := contained(text, t)) >= 0.8}
     assert found == pytest.approx(expected)
     assert all((d, "mit-grant") in found for d in range(len(docs) - 14, len(docs), 3))
+
+
+def test_license_scan_finds_short_notices_and_whole_texts(spark):
+    texts_ = licenses.license_texts()
+    assert {"text-gpl-3", "text-bsd-3-clause", "text-mit"} <= set(texts_)
+    docs = [(-1, "We wrote this. All Rights  Reserved."), (-2, "all rights"), (-3, "it is CC BY 4.0 here")]
+    docs += [(i, f"{' '.join(WORDS[:i])} {t} {' '.join(WORDS)}") for i, t in enumerate(texts_.values())]
+    found = {(x["doc_id"], x["license"]): (x["containment"], x["start_word"]) for x in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert {k: v for k, v in found.items() if k[0] < 0} == {(-1, "all-rights-reserved"): (1.0, 3), (-3, "cc-by-4"): (1.0, 2)}
+    assert all(found[i, name][0] == 1.0 and found[i, name][1] >= i for i, name in enumerate(texts_))
+    with pytest.raises(ValueError):
+        licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), {"none": "..."})
