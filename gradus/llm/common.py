@@ -11,6 +11,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -52,6 +53,11 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """``df`` staged with a number of each row in ``_row``: ids may be null or repeat, these are neither."""
+    return staged(df.withColumn("_row", F.monotonically_increasing_id()))
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalising mixer of 64-bit hashes (in place on a copy)."""
     h = h ^ (h >> np.uint64(33))

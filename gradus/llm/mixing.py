@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import numbered, staged
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Hex digits of the id's digest that split rows of one source and size: 4096 cells.
@@ -61,9 +61,15 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     Null texts have size 0; null sources are one source; repeated rows count each; an empty table gives no rows; a
     source without words has target 0 and no copies. Other columns are ignored.
     """
+    return _copies(docs, weights, most, seed).drop("_row")
+
+
+def _copies(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) -> DataFrame:
+    """``mix_copies`` with the number of the row in ``_row``, which ``docs`` may have."""
+    row = F.col("_row") if "_row" in docs.columns else F.lit(None).cast("long").alias("_row")
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    base = staged(docs.select("doc_id", "source", key.alias("_key"), word_count(F.col("text")).alias("size")))
+    base = staged(docs.select(row, "doc_id", "source", key.alias("_key"), word_count(F.col("text")).alias("size")))
     base = base.withColumn("_digest", digest).withColumn("_cell", F.substring("_digest", 1, CELL_DIGITS))
     cells = base.groupBy("_key", "size", "_cell").agg(F.count(F.lit(1)).alias("_n"), F.first("source").alias("source"))
     cells = cells.withColumn("_in_size", F.sum("_n").over(Window.partitionBy("_key", "size").orderBy("_cell")) - F.col("_n"))
@@ -73,21 +79,22 @@ def mix_copies(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     targets = source_targets(bysize.groupBy("source").agg(F.sum(F.col("size") * F.col("_m")).alias("source_size")), weights, most)
     targets = targets.withColumn("_key", key).withColumn("_u", _offset(F.col("source"), seed)).drop("source")
     placed = cells.drop("source").join(bysize.select("_key", "size", "_in_source").join(targets, "_key"), ["_key", "size"])
-    rank = F.row_number().over(Window.partitionBy("_key", "size", "_cell").orderBy("_digest", "doc_id")) + F.col("_in_size") + F.col("_in_source")
+    rank = F.row_number().over(Window.partitionBy("_key", "size", "_cell").orderBy("_digest", "doc_id", "_row")) + F.col("_in_size") + F.col("_in_source")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     crossed = F.floor(rank * rate + F.col("_u")) - F.floor((rank - 1) * rate + F.col("_u"))
     return (
-        base.select("doc_id", "_key", "size", "_cell", "_digest")
+        base.select("_row", "doc_id", "_key", "size", "_cell", "_digest")
         .join(placed, ["_key", "size", "_cell"])
         .withColumn("copies", F.least(crossed, F.lit(most).cast("long")))
-        .select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .select("_row", "doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
     )
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
-    """The mix itself: rows of ``docs`` whose ``doc_id`` is unique, each as often as it is taken, numbered by ``copy``."""
-    copies = mix_copies(docs, weights, most, seed).where("copies > 0").select(F.col("doc_id").alias("_id"), "copies")
-    out = docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    """The mix itself: rows of ``docs``, each as often as it is taken, numbered by ``copy``; ids may be null or repeat."""
+    rows = numbered(docs)
+    copies = _copies(rows, weights, most, seed).where("copies > 0").select("_row", "copies")
+    out = rows.join(copies, "_row").select(*docs.columns, "copies")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 
 

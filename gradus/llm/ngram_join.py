@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_words, mix64, shingle_hashes, staged
+from .common import document_words, mix64, numbered, shingle_hashes, staged
 from .components import connected_components
 
 #: Sets in one block of a large candidate group.
@@ -356,9 +356,17 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
 
 
 def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, that of the smallest id, of each component."""
-    kept = ngram_components(docs, k, percent).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id").select(*docs.columns)
+    """``docs`` with one row, that of the smallest id, of each component of rows.
+
+    Rows that repeat a doc_id are rows like others: one stays if their sets link, each if not. Rows with a null doc_id
+    are in no component and stay.
+    """
+    rows = numbered(docs)
+    named = rows.where("doc_id is not null")
+    parts = ngram_components(named.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id")
+    first = parts.join(named.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
+    kept = named.join(first.select(F.col("_first._row").alias("_row")), "_row")
+    return kept.select(*docs.columns).union(rows.where("doc_id is null").select(*docs.columns))
 
 
 SQL = """

@@ -252,3 +252,24 @@ def test_license_scan_finds_short_notices_and_whole_texts(spark):
     assert all(found[i, name][0] == 1.0 and found[i, name][1] >= i for i, name in enumerate(texts_))
     with pytest.raises(ValueError):
         licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), {"none": "..."})
+
+
+def test_pipeline_with_null_and_repeated_ids(spark, sf, tmp_path):
+    import corpus_pipeline
+
+    def text(seed, width):
+        r = random.Random(seed)
+        w = [f"v{r.randrange(9000)}" for _ in range(84)]
+        return "\n".join(" ".join(w[i : i + width]) for i in range(0, 84, width))
+
+    odd = [(None, text(1, 12)), (None, text(2, 12)), (None, text(2, 7)), (90001, text(3, 12)), (90001, text(3, 7)), (90001, text(3, 4)), (90002, text(4, 12)), (90002, text(5, 12)), (90002, text(6, 12)), (90000, text(7, 12)), (90003, text(7, 7))]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    docs.unionByName(spark.createDataFrame(odd, "doc_id long, text string"), allowMissingColumns=True).withColumn("source", F.lit("a")).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.run(spark, str(tmp_path)).where("doc_id is null or doc_id >= 90000").collect()]
+    # of one source each row that stays is taken once
+    one = [x for x in out if x[0] == 90001]
+    assert len(one) == 1 and one[0] in odd
+    assert sorted(x for x in out if x[0] != 90001 and x[0]) == sorted(odd[6:10])
+    assert sorted(x[1] for x in out if x[0] is None) == sorted(x[1] for x in odd[:3])
