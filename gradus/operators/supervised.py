@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from math import log2
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .columns import Fitted, cut_label
 
+#: Rows that meet others at once in the search for neighbours.
+BLOCK = 1024
+
 
 def entropy(counts) -> float:
     total = sum(counts)
@@ -85,25 +89,84 @@ def class_conditional(df: DataFrame, column: str, target: str) -> DataFrame:
     return counts.join(totals, target).select(target, column, ((F.col("n") + 1) / (F.col("t") + values)).alias("p"))
 
 
+def _packed(batches):
+    """Blocks of at most BLOCK rows (key, vector) in the order of their keys."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        for a in range(0, len(table), BLOCK):
+            part = table.slice(a, BLOCK)
+            part = part.take(pc.sort_indices(part.column(0), null_placement="at_start")).combine_chunks()
+            keys, vectors = part.column(0).combine_chunks(), part.column(1).combine_chunks()
+            lists = pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys)
+            yield pa.RecordBatch.from_arrays([lists, pa.array([np.asarray(vectors.flatten(), np.float64).tobytes()], pa.binary())], names=["keys", "vectors"])
+
+
+def _nearest(k: int):
+    """The k nearest of each row of a block among those of another; of equal distances the first."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, other = batch.column("block")[i].as_py(), batch.column("other")[i].as_py()
+                keys, others = batch.column("keys")[i].values, batch.column("other_keys")[i].values
+                x = np.frombuffer(batch.column("vectors")[i].as_py()).reshape(len(keys), -1)
+                y = np.frombuffer(batch.column("other_vectors")[i].as_py()).reshape(len(others), -1)
+                d = np.zeros((len(x), len(y)))
+                for c in range(x.shape[1]):
+                    d += (x[:, c, None] - y[None, :, c]) ** 2
+                if block == other:
+                    np.fill_diagonal(d, np.inf)
+                if d.shape[1] > k:
+                    r, c = np.nonzero((d <= np.partition(d, k - 1, axis=1)[:, k - 1, None]) & np.isfinite(d))
+                else:
+                    r, c = np.nonzero(np.isfinite(d))
+                order = np.lexsort((c, d[r, c], r))
+                r, c = r[order], c[order]
+                kept = np.arange(len(r)) - np.searchsorted(r, r) < k
+                r, c = r[kept], c[kept]
+                vectors = lambda m: pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * m.shape[1], pa.int32()), pa.array(m.ravel(), pa.float64()))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(r), block), pa.int64()), pa.array(r, pa.int32()), keys.take(pa.array(r)), vectors(x[r]), pa.array(np.full(len(r), other), pa.int64()), pa.array(c, pa.int32()), others.take(pa.array(c)), vectors(y[c]), pa.array(d[r, c])],
+                    names=["block", "place", "key", "x", "other", "other_place", "other_key", "y", "d"],
+                )
+
+    return run
+
+
+def nearest_rows(df: DataFrame, key: str, columns: list[str], k: int) -> DataFrame:
+    """(block, place, key, x, other_key, y, rank): the k nearest other rows of each row by Euclidean distance, ties by key.
+
+    The search is exact: every block of rows meets every block, k are kept of each meeting and merged. ``block`` and
+    ``place`` name a row, so keys may be null or repeat. Rows with a null or non-finite number take no part.
+    """
+    vector = F.array(*[F.col(c).cast("double") for c in columns])
+    rows = df.select(F.col(key).alias("key"), vector.alias("v")).where(F.forall("v", lambda x: F.coalesce(F.abs(x) < F.lit(float("inf")), F.lit(False))))
+    kind = df.schema[key].dataType.simpleString()
+    # both sides of the meetings have to name rows alike
+    blocks = rows.mapInArrow(_packed, f"keys array<{kind}>, vectors binary").withColumn("block", F.monotonically_increasing_id()).persist()
+    salts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    others = blocks.select(F.col("block").alias("other"), F.col("keys").alias("other_keys"), F.col("vectors").alias("other_vectors"), F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
+    met = others.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "salt").drop("salt")
+    near = met.mapInArrow(_nearest(k), f"block long, place int, key {kind}, x array<double>, other long, other_place int, other_key {kind}, y array<double>, d double")
+    order = Window.partitionBy("block", "place").orderBy("d", "other_key", "other", "other_place")
+    return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("other", "other_place", "d")
+
+
 def smote(df: DataFrame, key: str, columns: list[str], target: str, minority, percent: int = 100, k: int = 5, seed: int = 1) -> DataFrame:
     """``df`` and, for each minority row, percent / 100 rows between it and one of its k nearest of the class.
 
-    Neighbours are searched in the class alone, blocked on the first column's cells of equal width and their next ones,
-    so that pairs are not formed across the whole class.
+    Each row with another of its class gets all its rows; neighbours are the exact ones of ``nearest_rows``.
     """
-    few = df.where(F.col(target) == F.lit(minority)).select(key, *[F.col(c).cast("double").alias(c) for c in columns])
-    low, high, n = few.agg(F.min(columns[0]), F.max(columns[0]), F.count(F.lit(1))).first()
-    if not n:
-        return df
-    width = (high - low) / max(1, n // 50) or 1.0
-    cell = F.floor((F.col(columns[0]) - low) / width)
-    a = few.withColumn("_cell", cell)
-    b = few.select(F.col(key).alias("_other"), *[F.col(c).alias(f"_{c}") for c in columns], F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
-    distance = sum(((F.col(c) - F.col(f"_{c}")) ** 2 for c in columns[1:]), (F.col(columns[0]) - F.col(f"_{columns[0]}")) ** 2)
-    near = a.join(b, "_cell").where(F.col(key) != F.col("_other")).withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(distance, "_other"))).where(F.col("_r") <= k)
+    near = nearest_rows(df.where(F.col(target) == F.lit(minority)), key, columns, k)
     copies = max(1, percent // 100)
+    near = near.withColumn("_n", F.max("rank").over(Window.partitionBy("block", "place")))
     picked = near.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.lit(copies))))
-    pick = picked.withColumn("_n", F.max("_r").over(Window.partitionBy(key))).where(F.col("_r") == F.pmod(F.xxhash64(F.lit(seed), key, "_copy"), F.col("_n")) + 1)
-    at = F.pmod(F.xxhash64(F.lit(seed + 1), key, "_copy"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    new = pick.select(F.lit(None).cast(df.schema[key].dataType).alias(key), *[(F.col(c) + at * (F.col(f"_{c}") - F.col(c))).alias(c) for c in columns], F.lit(minority).alias(target))
+    pick = picked.where(F.col("rank") == F.pmod(F.xxhash64(F.lit(seed), "key", "_copy"), F.col("_n")) + 1)
+    at = F.pmod(F.xxhash64(F.lit(seed + 1), "key", "_copy"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    new = pick.select(F.lit(None).cast(df.schema[key].dataType).alias(key), *[(F.col("x")[i] + at * (F.col("y")[i] - F.col("x")[i])).alias(c) for i, c in enumerate(columns)], F.lit(minority).alias(target))
     return df.unionByName(new, allowMissingColumns=True)

@@ -94,3 +94,18 @@ def test_stream_delta(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("deltas").option("checkpointLocation", f"{tmp_path}/c").outputMode("append").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert {(r["k"], r["t"], r["delta"]) for r in spark.table("deltas").collect()} == {("u", 1, None), ("u", 2, 3.0), ("v", 1, None)}
+
+
+def test_smote_neighbours_and_counts_on_a_skewed_column(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 16)
+    rng = np.random.default_rng(5)
+    points = [(i, float(x), float(y)) for i, (x, y) in enumerate(np.round(np.column_stack([np.exp(rng.normal(0, 3, 130)), rng.normal(0, 50, 130)]), 1))]
+    points += [(130, 1e9, 0.0), (None, -1e9, 3.0)]
+    df = spark.createDataFrame([(*p, "few") for p in points] + [(500 + i, 0.0, 0.0, "many") for i in range(9)], "k long, x double, y double, c string")
+    found = {}
+    for r in V.nearest_rows(df.where("c = 'few'"), "k", ["x", "y"], 5).collect():
+        found.setdefault(r["key"], {})[r["rank"]] = r["other_key"]
+    for a in points:
+        rest = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, -1 if b[0] is None else b[0]) for b in points if b is not a)[:5]
+        assert [-1 if found[a[0]][i] is None else found[a[0]][i] for i in range(1, 6)] == [k for _, k in rest]
+    assert V.smote(df, "k", ["x", "y"], "c", "few", 300).where("c = 'few'").count() == 4 * len(points)
