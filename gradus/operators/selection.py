@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .supervised import fit_discretize
+
 
 def contingency(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """(attribute, value, class, n): all attributes' tables in one pass; a null value is a level of its own."""
@@ -15,9 +17,13 @@ def contingency(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     return rows.select(F.col(target).cast("string").alias("class"), F.explode(pairs).alias("p")).groupBy("p.attribute", "p.value", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
-def entropy_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(attribute, info_gain, gain_ratio, symmetrical_uncertainty)."""
-    cells = contingency(df, columns, target)
+def entropy_scores(df: DataFrame, columns: list[str], target: str, numeric: Sequence[str] = ()) -> DataFrame:
+    """(attribute, info_gain, gain_ratio, symmetrical_uncertainty).
+
+    Attributes of ``numeric`` are cut by ``supervised.mdl_cuts`` first, one without cuts scores 0; of the others each
+    value is a level.
+    """
+    cells = contingency(fit_discretize(df, list(numeric), target).transform(df) if numeric else df, columns, target)
     n = F.lit(float(df.where(F.col(target).isNotNull()).count() or 1))
     bits = lambda: -F.sum(F.col("n") / n * F.log2(F.col("n") / n))
     joint = cells.groupBy("attribute").agg(bits().alias("hj"))
@@ -32,7 +38,7 @@ def entropy_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
 
 
 def one_rule_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(attribute, accuracy): percent right if each value predicts its most frequent class."""
+    """(attribute, accuracy): percent right if each value predicts its most frequent class; numbers are not binned."""
     best = contingency(df, columns, target).groupBy("attribute", "value").agg(F.max("n").alias("m"), F.sum("n").alias("t"))
     return best.groupBy("attribute").agg((F.sum("m") * 100.0 / F.sum("t")).alias("accuracy"))
 

@@ -7,6 +7,7 @@ from gradus.operators import columns as C
 from gradus.operators import experiments as X
 from gradus.operators import measures as M
 from gradus.operators import rows as R
+from gradus.operators import selection as S
 from gradus.operators import supervised as V
 from gradus.sources import tables as T
 
@@ -109,3 +110,11 @@ def test_smote_neighbours_and_counts_on_a_skewed_column(spark, monkeypatch):
         rest = sorted(((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, -1 if b[0] is None else b[0]) for b in points if b is not a)[:5]
         assert [-1 if found[a[0]][i] is None else found[a[0]][i] for i in range(1, 6)] == [k for _, k in rest]
     assert V.smote(df, "k", ["x", "y"], "c", "few", 300).where("c = 'few'").count() == 4 * len(points)
+
+
+def test_entropy_scores_cut_numeric_attributes(spark):
+    df = spark.range(400).select(F.col("id").cast("double").alias("x"), (F.col("id") * 37 % 400).cast("double").alias("noise"), F.when(F.col("id") < 150, "a").otherwise("b").alias("c"))
+    found = {r["attribute"]: r for r in S.entropy_scores(df, ["x", "noise"], "c", numeric=["x", "noise"]).collect()}
+    assert found["x"]["gain_ratio"] == pytest.approx(1.0) and found["x"]["info_gain"] == pytest.approx(V.entropy([150, 250]))
+    assert found["noise"]["info_gain"] == pytest.approx(0.0)
+    assert found["noise"]["symmetrical_uncertainty"] == pytest.approx(0.0)
