@@ -307,7 +307,7 @@ def fit_quartile_flags(df: DataFrame, column: str, outlier: float = 3.0, extreme
 
 
 def word_counts(df: DataFrame, key: str, text: str, lower: bool = True) -> DataFrame:
-    """(key, word, n, tf, df, idf) of every document, by exploding words; no vocabulary is gathered."""
+    """(key, word, n, tf, df) of every document, by exploding words; no vocabulary is gathered."""
     x = F.lower(F.col(text)) if lower else F.col(text)
     words = df.select(key, F.explode(F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
     counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
