@@ -6,8 +6,8 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,18 +30,26 @@ CHUNK_BYTES = 1 << 20
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Paths staged in each open ``scratch`` block, the innermost last.
+_OPEN: list[list[str]] = []
+
+
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a temporary one only where the session names none (tests)."""
+    """The shared folder of ``spark.checkpoint.dir``, which a session has to name: a local one would be seen by one machine alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
 def staged(df: DataFrame) -> DataFrame:
     """``df`` written as a table in the shared folder and read back: lineage ends there, lost executors cost no recomputation.
 
-    Its shuffle files go as soon as the table is whole, for nothing reads them any more.
+    Its shuffle files go as soon as the table is whole, for nothing reads them any more. The table itself goes with the
+    innermost ``scratch`` block, if there is one.
     """
     conf, path = df.sparkSession.conf, f"{staging_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     before = conf.get(CLEANUP, "false")
@@ -50,9 +58,34 @@ def staged(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(CLEANUP, before)
+    if _OPEN:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables staged inside go when the block ends, but those handed to the function it gives; they go to the block around.
+
+    What is read after the block has to be handed over, as a plan reads its tables when it runs.
+    """
+    made: list[str] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield kept.append
+    finally:
+        _OPEN.pop()
+        files = {f for df in kept for f in df.inputFiles()}
+        for path in made:
+            if any(f"/{path.rsplit('/', 1)[-1]}/" in f for f in files):
+                if _OPEN:
+                    _OPEN[-1].append(path)
+                continue
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def numbered(df: DataFrame) -> DataFrame:
     """``df`` staged with a number of each row in ``_row``: ids may be null or repeat, these are neither."""
     return staged(df.withColumn("_row", F.monotonically_increasing_id()))
