@@ -26,6 +26,7 @@ PART_GRAMS = 2_000_000
 
 def _runs(batches):
     import pyarrow as pa
+    import xxhash
 
     codec = pa.Codec("zstd", 1)
     for batch in batches:
@@ -35,7 +36,8 @@ def _runs(batches):
             mine = ids[first:last]
             text = data[offsets[first] : offsets[last]].tobytes()
             words = sum(len(w) for _, w, _ in document_words(batch.column("text").slice(first, last - first)))
-            name = int(mix64(mine.view(np.uint64) + np.arange(len(mine), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).sum().view(np.int64))
+            # runs of one name share their totals, so it stands for ids and texts
+            name = xxhash.xxh3_64_intdigest(text, xxhash.xxh3_64_intdigest(mine.tobytes() + np.diff(offsets[first : last + 1]).tobytes())) - (1 << 63)
             yield pa.RecordBatch.from_pydict(
                 {"run": pa.array([name], pa.int64()), "ids": [mine.tobytes()], "at": [(offsets[first : last + 1] - offsets[first]).astype(np.int64).tobytes()], "text": [codec.compress(text, asbytes=True)], "words": pa.array([words], pa.int64())}
             )

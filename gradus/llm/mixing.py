@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import numbered, staged
+from .common import numbered, scratch, staged
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Hex digits of the id's digest that split rows of one source and size: 4096 cells.
@@ -91,11 +91,18 @@ def _copies(docs: DataFrame, weights: tuple[int, ...], most: int, seed: int) ->
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 7) -> DataFrame:
-    """The mix itself: rows of ``docs``, each as often as it is taken, numbered by ``copy``; ids may be null or repeat."""
-    rows = numbered(docs)
-    copies = _copies(rows, weights, most, seed).where("copies > 0").select("_row", "copies")
-    out = rows.join(copies, "_row").select(*docs.columns, "copies")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
+    """The mix itself: rows of ``docs``, each as often as it is taken, numbered by ``copy``.
+
+    Ids may be null or repeat: rows are told apart by number. A column ``copy`` of ``docs`` is replaced; no other column
+    is touched, ``_row`` and ``_times`` must not be any. Rows of size 0 are taken at their source's rate like others.
+    """
+    with scratch(docs.sparkSession) as keep:
+        rows = numbered(docs)
+        copies = staged(_copies(rows, weights, most, seed).where("copies > 0").select("_row", F.col("copies").cast("int").alias("_times")))
+        keep(rows)
+        keep(copies)
+    rest = [c for c in docs.columns if c != "copy"]
+    return rows.join(copies, "_row").select(*rest, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
 
 
 SQL = """

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import document_words, mix64, numbered, shingle_hashes, staged
+from .common import document_words, mix64, numbered, scratch, shingle_hashes, staged
 from .components import connected_components
 
 #: Sets in one block of a large candidate group.
@@ -342,15 +342,18 @@ def ngram_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFram
     union; component_id is the smallest doc_id reachable. Rows that repeat a doc_id are one node each in the same
     component as that id's first row if their sets link; rows with a null doc_id are alone with a null component.
     """
-    sets = staged(shingle_sets(docs, k))
-    named = sets.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first_id"))
-    classes = staged(classes)
-    ids = classes.select(F.col("first_id").alias("doc_id")).distinct()
-    reps = sets.join(ids, "doc_id").dropDuplicates(["doc_id"])
-    links = similar_links(docs, reps, k, percent)
-    parts = connected_components(links).withColumnRenamed("id", "first_id")
-    found = classes.join(parts, "first_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "first_id").alias("component_id"))
+    with scratch(docs.sparkSession) as keep:
+        sets = staged(shingle_sets(docs, k))
+        named = sets.where("n_shingles > 0 and doc_id is not null")
+        classes = named.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("first_id"))
+        classes = staged(classes)
+        ids = classes.select(F.col("first_id").alias("doc_id")).distinct()
+        reps = sets.join(ids, "doc_id").dropDuplicates(["doc_id"])
+        links = similar_links(docs, reps, k, percent)
+        parts = connected_components(links).withColumnRenamed("id", "first_id")
+        found = staged(classes.join(parts, "first_id", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "first_id").alias("component_id")))
+        keep(sets)
+        keep(found)
     out = sets.join(found, ["n_shingles", "f1", "f2"], "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
@@ -359,14 +362,19 @@ def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one row, that of the smallest id, of each component of rows.
 
     Rows that repeat a doc_id are rows like others: one stays if their sets link, each if not. Rows with a null doc_id
-    are in no component and stay.
+    are in no component and stay, as do rows without words. Columns of any name but ``_row`` stay as they are.
     """
-    rows = numbered(docs)
-    named = rows.where("doc_id is not null")
-    parts = ngram_components(named.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id")
-    first = parts.join(named.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("_first"))
-    kept = named.join(first.select(F.col("_first._row").alias("_row")), "_row")
-    return kept.select(*docs.columns).union(rows.where("doc_id is null").select(*docs.columns))
+    with scratch(docs.sparkSession) as keep:
+        rows = numbered(docs)
+        named = rows.where("doc_id is not null")
+        parts = ngram_components(named.select(F.col("_row").alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("_row"), "component_id")
+        first = parts.join(named.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("first"), F.count(F.lit(1)).alias("n"))
+        # only what goes is joined to the texts: few rows, where most documents are alone
+        others = parts.join(first.where("n > 1"), "component_id").where("_row <> first._row").select("_row")
+        gone = staged(others)
+        keep(rows)
+        keep(gone)
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 SQL = """

@@ -22,6 +22,8 @@ BUCKETS = 1 << 20
 #: Labelled documents that a fit uses at most (those of the smallest hashes of their id), and features it selects.
 MAX_TRAIN = 12_000
 MAX_FEATURES = 512
+#: Examples that a step of the fit takes at once.
+FIT_ROWS = 1000
 #: Terms of one group stand in for each other.
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys"),
@@ -34,6 +36,19 @@ IDENTITY_GROUPS = (
     ("immigrant", "refugee", "citizen", "native"),
     ("immigrants", "refugees", "citizens", "natives"),
     ("disabled", "deaf", "blind", "elderly", "young"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "hindus", "buddhisten", "atheisten"),
+    ("schwule", "lesben", "heterosexuelle"),
+    ("einwanderer", "flüchtlinge", "bürger"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "hindous", "bouddhistes", "athées"),
+    ("immigrés", "réfugiés", "citoyens"),
+    ("mujeres", "hombres", "niñas", "niños"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "hindúes", "budistas", "ateos"),
+    ("inmigrantes", "refugiados", "ciudadanos"),
 )
 
 _LETTER = np.full(256, 32, np.uint64)
@@ -92,6 +107,17 @@ class ToxicityModel:
             out[first : first + n] += np.bincount(doc, self.weights[feature], n)
         return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
 
+    def below(self, docs: DataFrame, threshold: float) -> DataFrame:
+        """The rows of ``docs`` that score less than ``threshold``; no column is added or read but ``text``."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield batch.filter(pa.array(self.score_column(batch.column("text")) < threshold))
+
+        return docs.mapInArrow(run, docs.schema)
+
     def score(self, docs: DataFrame) -> DataFrame:
         """``docs`` with a column ``score``; null and empty texts get the intercept's."""
         import pyarrow as pa
@@ -106,20 +132,26 @@ class ToxicityModel:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, of: np.ndarray, ridge: float = 1.0, penalty: float = 10.0, rounds: int = 12) -> np.ndarray:
-    """Newton steps for the log loss + ridge + penalty * (score(x[of]) - score(swapped))**2; the last weight is the intercept."""
-    one = lambda m: np.hstack([m, np.ones((len(m), 1), m.dtype)])
-    x, swapped = one(x), one(swapped)
-    w = np.zeros(x.shape[1])
+    """Newton steps for the log loss + ridge + penalty * (score(x[of]) - score(swapped))**2; the last weight is the intercept.
+
+    Examples are taken FIT_ROWS at a time, so that no other matrix of their number is held.
+    """
+    w = np.zeros(x.shape[1] + 1)
     keep = np.full(len(w), ridge)
     keep[-1] = 1e-3
+    one = lambda m: np.hstack([m, np.ones((len(m), 1))])  # noqa: E731  doubles from here on
     sigma = lambda m: 1 / (1 + np.exp(-np.clip(m @ w, -35, 35)))
     for _ in range(rounds):
-        p = sigma(x)
-        grad = x.T @ (p - y) + keep * w
-        hess = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(keep)
-        if len(of):
-            q, r = p[of], sigma(swapped)
-            slope = x[of] * (q * (1 - q))[:, None] - swapped * (r * (1 - r))[:, None]
+        grad, hess = keep * w, np.diag(keep)
+        for a in range(0, len(x), FIT_ROWS):
+            m = one(x[a : a + FIT_ROWS])
+            p = sigma(m)
+            grad += m.T @ (p - y[a : a + FIT_ROWS])
+            hess += (m * (p * (1 - p) + 1e-6)[:, None]).T @ m
+        for a in range(0, len(of), FIT_ROWS):
+            m, s = one(x[of[a : a + FIT_ROWS]]), one(swapped[a : a + FIT_ROWS])
+            q, r = sigma(m), sigma(s)
+            slope = m * (q * (1 - q))[:, None] - s * (r * (1 - r))[:, None]
             grad += penalty * slope.T @ (q - r)
             hess += penalty * slope.T @ slope
         step = np.linalg.solve(hess, grad)
@@ -181,15 +213,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_feat
                         found[kind][rows[first + d]].append(int(f))
             yield pa.RecordBatch.from_pydict({"toxic": batch.column("toxic"), "features": pa.array(found[False], pa.list_(pa.int32())), "swapped": pa.array(found[True], pa.list_(pa.int32()))})
 
-    rows = train.mapInArrow(examples, "toxic double, features array<int>, swapped array<int>").collect()
-    x, y = np.zeros((len(rows), len(buckets)), np.float32), np.array([r["toxic"] for r in rows])
-    for i, r in enumerate(rows):
-        x[i, r["features"]] = 1
-    of = np.array([i for i, r in enumerate(rows) if r["swapped"] is not None], int)
-    swapped = np.zeros((len(of), len(buckets)), np.float32)
-    for i, j in enumerate(of):
-        swapped[i, rows[j]["swapped"]] = 1
-    w = fit_logistic(x, y, swapped, of)
+    rows = train.mapInArrow(examples, "toxic double, features array<int>, swapped array<int>").toArrow()  # max_train rows at most
+
+    def dense(name: str) -> tuple[np.ndarray, np.ndarray]:
+        """Rows that have the list, and a byte for each of their features."""
+        lists = rows.column(name).combine_chunks()
+        some = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+        out = np.zeros((len(lists), len(buckets)), np.uint8)
+        out[np.repeat(np.arange(len(lists)), np.diff(np.asarray(lists.offsets))), np.asarray(lists.flatten())] = 1
+        return some, out[some]
+
+    of, swapped = dense("swapped")
+    w = fit_logistic(dense("features")[1], rows.column("toxic").to_numpy(), swapped, of)
     return ToxicityModel(buckets, w[:-1], w[-1])
 
 
@@ -209,9 +244,12 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the documents whose score reaches ``threshold``."""
-    scored = fit(docs, labels).score(docs.select(*docs.columns))
-    return scored.where(F.col("score") < threshold).select(*docs.columns)
+    """``docs``, same columns, without the rows whose score reaches ``threshold``.
+
+    Each row is judged by its text alone: null ids, repeated rows and columns of any name stay as they are, null and
+    empty texts have the score of the intercept. Without labels of both classes all go, or none, as in ``fit``.
+    """
+    return fit(docs, labels).below(docs, threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
