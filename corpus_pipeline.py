@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gradus.llm import decontaminate, line_dedup, mixing, ngram_join, toxicity
-from gradus.llm.common import staged
+from gradus.llm.common import scratch, staged
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,14 +20,8 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without later lines that nearly repeat an earlier one; documents stay, n_chars follows the text."""
-    from pyspark.sql import functions as F
-
-    out = line_dedup.dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    """Without later lines that nearly repeat an earlier one, and without documents that end blank by it."""
+    return line_dedup.drop_lines(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +48,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir))
+        with scratch(spark) as keep:
+            docs = staged(stage(spark, docs, sf_dir))
+            keep(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
