@@ -102,7 +102,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
         keep(rows)
         keep(copies)
     rest = [c for c in docs.columns if c != "copy"]
-    return rows.join(copies, "_row").select(*rest, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
+    return rows.join(copies.hint("shuffle_hash"), "_row").select(*rest, F.explode(F.sequence(F.lit(1), F.col("_times"))).alias("copy"))
 
 
 SQL = """

@@ -294,7 +294,7 @@ def similar_links(docs: DataFrame, sets: DataFrame, k: int, percent: int) -> Dat
     total = sets.agg(F.sum("n_shingles")).first()[0] or 0
     named = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
     met = with_shared_shingles(named, k, percent, total).join(sets.select(F.col("doc_id").alias("id")), "id", "left_semi")
-    texts = named.join(staged(met.distinct()), "id")
+    texts = named.join(staged(met.distinct()).hint("shuffle_hash"), "id")
     # ids are unique here: a representative is the smallest of its class; of repeated rows any will do
     whole = staged(_whole_sets(texts, k).dropDuplicates(["id"]))
     rows = whole.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -374,7 +374,7 @@ def keep_one_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         gone = staged(others)
         keep(rows)
         keep(gone)
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return rows.join(gone.hint("shuffle_hash"), "_row", "left_anti").select(*docs.columns)
 
 
 SQL = """
