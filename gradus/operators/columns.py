@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 @dataclass
 class Fitted:
@@ -281,28 +283,48 @@ def fit_equal_width(df: DataFrame, columns: list[str], bins: int = 10) -> Fitted
 def fit_equal_frequency(df: DataFrame, column: str, bins: int | None = None) -> Fitted:
     """Cuts half way between neighbouring values where a running count passes each share; without ``bins``, sqrt(n) of them.
 
-    Only one row a distinct value near a cut comes to the driver: values are ranked by cumulative counts in a window
-    over value ranges, and the cuts are picked there.
+    A cut is taken at the last value whose running count does not pass the share: a fixed share of all rows, where the
+    usual rule shares what is left anew after each cut. Running counts are taken in cells; a row a cut comes to the driver.
     """
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
     bins = bins or max(1, int(total**0.5))
-    w = Window.orderBy("v")
-    ranked = counts.withColumn("upto", F.sum("n").over(w)).withColumn("next", F.lead("v").over(w))
-    # the last value whose cumulative count doesn't pass each share, and so at most ``bins`` rows
+    ranked = running(counts, "v", F.col("n"), "upto")
     share = F.ceil(F.col("upto") * bins / F.lit(float(total or 1)))
-    edges = ranked.where("next is not null").groupBy(share.alias("share")).agg(F.max(F.struct("v", "next")).alias("x")).orderBy("share").collect()
-    cuts = [(r["x"]["v"] + r["x"]["next"]) / 2 for r in edges if r["share"] < bins]
+    edges = ranked.groupBy(share.alias("share")).agg(F.min("v").alias("first"), F.max("v").alias("last")).orderBy("share").collect()  # ``bins`` rows at most
+    cuts = [(a["last"] + b["first"]) / 2 for a, b in zip(edges, edges[1:], strict=False)]
     return Fitted({column: cut_label(F.col(column), cuts)}, {column: cuts})
 
 
+def values_at(df: DataFrame, column: str, places: list[int]) -> list:
+    """The values at places (from 0) of the sorted column, nulls left out; counts by value are summed up in cells."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    upto = running(counts, "v", F.col("n"), "upto")
+    wanted = F.array(*[F.lit(p) for p in places])
+    hit = F.filter(wanted, lambda p: (p < F.col("upto")) & (p >= F.col("upto") - F.col("n")))
+    found = {p: r["v"] for r in upto.select("v", hit.alias("hit")).where(F.size("hit") > 0).collect() for p in r["hit"]}
+    return [found[p] for p in places]
+
+
+def quartiles(df: DataFrame, column: str) -> tuple[float, float]:
+    """First and third quartile by place: with h = n // 2 and q = h // 2, the values at q and n - q - 1, each averaged with the one after if h is even."""
+    n = df.where(F.col(column).isNotNull()).count()
+    if n == 0:
+        return float("nan"), float("nan")
+    half = n // 2
+    q = half // 2
+    low, high = ([q], [n - q - 1]) if half % 2 else ([q, min(q + 1, n - 1)], [n - q - 1, min(n - q, n - 1)])
+    x = values_at(df, column, [low[0], low[-1], high[0], high[-1]])
+    return (x[0] + x[1]) / 2, (x[2] + x[3]) / 2
+
+
 def fit_quartile_flags(df: DataFrame, column: str, outlier: float = 3.0, extreme: float = 6.0) -> Fitted:
-    """Outlier and extreme flags by interquartile range, with exact quartiles of the sorted values."""
-    q1, q3 = df.select(F.expr(f"percentile({column}, array(0.25, 0.75))")).first()[0]
+    """Outlier and extreme flags by interquartile range, with ``quartiles``; nulls have neither."""
+    q1, q3 = quartiles(df, column)
     spread = q3 - q1
     x = F.col(column)
-    far = (x > q3 + extreme * spread) | (x < q1 - extreme * spread)
-    out = ((x > q3 + outlier * spread) | (x < q1 - outlier * spread)) & ~far
+    far = F.coalesce((x > q3 + extreme * spread) | (x < q1 - extreme * spread), F.lit(False))
+    out = F.coalesce((x > q3 + outlier * spread) | (x < q1 - outlier * spread), F.lit(False)) & ~far
     return Fitted({}, {"q1": q1, "q3": q3, "outlier": out, "extreme": far})
 
 
@@ -315,6 +337,105 @@ def word_counts(df: DataFrame, key: str, text: str, lower: bool = True) -> DataF
     return counts.join(spread, "word").select(key, "word", "n", F.log1p("n").alias("tf"), "df")
 
 
+def word_vectors(df: DataFrame, key: str, text: str, dictionary: DataFrame | None = None, words: int = 1000, least: int = 1, stop: tuple[str, ...] = (), tf: bool = False, idf: bool = False, normalize: bool = False) -> DataFrame:
+    """(key, word, weight): counts of the dictionary's words in each document, the long form of a word matrix.
+
+    The dictionary is a table with a column ``word`` or, if None, the ``words`` most frequent words (ties by word) that
+    occur ``least`` times and are no stop words. ``tf`` takes log(1 + count), ``idf`` multiplies by log(documents /
+    documents with the word), ``normalize`` scales each vector to the mean Euclidean length of all.
+    """
+    tokens = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
+    counts = tokens.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    spread = counts.groupBy("word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
+    if dictionary is None:
+        chosen = spread.where((F.col("total") >= least) & ~F.col("word").isin(*stop, "")).orderBy(F.desc("total"), "word").limit(words)
+    else:
+        chosen = spread.join(dictionary.select("word").distinct(), "word")
+    out = counts.join(chosen, "word").withColumn("weight", F.log1p("n") if tf else F.col("n").cast("double"))
+    if idf:
+        out = out.withColumn("weight", F.col("weight") * F.log(F.lit(float(df.count())) / F.col("df")))
+    if normalize:
+        lengths = out.groupBy(F.col(key).alias("_k")).agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_length"))
+        mean = lengths.agg(F.avg("_length")).first()[0] or 0.0
+        out = out.join(lengths, F.col(key) == F.col("_k")).withColumn("weight", F.when(F.col("_length") > 0, F.col("weight") * mean / F.col("_length")).otherwise(0.0))
+    return out.select(key, "word", "weight")
+
+
+def numeric_to_nominal(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Numbers as labels: their text."""
+    return df.select(*[F.col(c).cast("string").alias(c) if c in columns else F.col(c) for c in df.columns])
+
+
+def label_table(df: DataFrame, column: str, by: str = "label", descending: bool = False) -> DataFrame:
+    """(label, n, place): the label domain in order of the labels or of their ``frequency`` (ties by label); a null is none."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    first = F.col("n") if by == "frequency" else F.col("label")
+    order = Window.orderBy(first.desc() if descending else first.asc(), "label")  # a row a label
+    return counts.withColumn("place", (F.row_number().over(order) - 1).cast("int"))
+
+
+def with_label_place(df: DataFrame, column: str, labels: DataFrame, name: str) -> DataFrame:
+    """``df`` with the place of its label in a ``label_table``; labels outside of it, and nulls, have none."""
+    table = labels.select(F.col("label").alias("_label"), F.col("place").alias(name))
+    return df.join(table, F.col(column) == F.col("_label"), "left").drop("_label")
+
+
+def random_subset(df: DataFrame, share: float, seed: int = 1, keep: tuple[str, ...] = (), invert: bool = False) -> DataFrame:
+    """A random choice of columns, in their order: a share below 1, else a number; ``keep`` stay in any case."""
+    import random
+
+    free = [c for c in df.columns if c not in keep]
+    n = round(share * len(free)) if share < 1 else min(int(share), len(free))
+    chosen = set(random.Random(seed).sample(free, n))
+    return df.select(*[c for c in df.columns if c in keep or (c in chosen) != invert])
+
+
+def multi_filter(df: DataFrame, parts: list[tuple[list[str], Callable[[DataFrame, list[str]], Fitted]]]) -> DataFrame:
+    """Each fitted filter on its own columns: parts of (columns, fit function)."""
+    out = df
+    for columns, fit in parts:
+        out = fit(df, columns).transform(out)
+    return out
+
+
+def transpose(df: DataFrame, key: str) -> DataFrame:
+    """(attribute, one column for each key): for tables of few rows, whose keys become columns. All values become doubles."""
+    long = df.unpivot(key, [F.col(c).cast("double").alias(c) for c in df.columns if c != key], "attribute", "value")
+    return long.groupBy("attribute").pivot(key).agg(F.first("value"))
+
+
+def fit_principal_components(df: DataFrame, columns: list[str], standardize: bool = True, variance: float = 0.95) -> tuple[Callable[[DataFrame], DataFrame], list[float]]:
+    """(filter, variances): projections PC1.. on the components that together explain ``variance``.
+
+    The correlation (or covariance) matrix is one aggregation; only the matrix comes to the driver. Nulls count as the
+    mean. The sign is such that a component's largest loading (of equals, the first) is positive.
+    """
+    import numpy as np
+
+    s = statistics(df, columns)
+    scale = {c: (s[c]["sd"] or 1.0) if standardize else 1.0 for c in columns}
+    z = {c: F.coalesce((F.col(c).cast("double") - F.lit(s[c]["mean"] or 0.0)) / F.lit(scale[c]), F.lit(0.0)) for c in columns}
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(z[a] * z[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    m = np.zeros((len(columns), len(columns)))
+    for i, (a, b) in enumerate(pairs):
+        m[columns.index(a), columns.index(b)] = m[columns.index(b), columns.index(a)] = (row[f"p{i}"] or 0.0) / max(1, row["n"] - 1)
+    values, vectors = np.linalg.eigh(m)
+    values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
+    kept = int(np.searchsorted(np.cumsum(values) / (values.sum() or 1), variance - 1e-12) + 1)
+    loads = []
+    for k in range(min(kept, len(columns))):
+        v = vectors[:, k]
+        lead = int(np.argmax(np.round(np.abs(v), 9)))
+        loads.append(v * (1 if v[lead] >= 0 else -1))
+
+    def apply(rows: DataFrame) -> DataFrame:
+        new = [sum((z[c] * float(w) for c, w in zip(columns, load, strict=True)), F.lit(0.0)).alias(f"PC{k + 1}") for k, load in enumerate(loads)]
+        return rows.select(*[c for c in rows.columns if c not in columns], *new)
+
+    return apply, [float(x) for x in values]
+
+
 def random_projection(df: DataFrame, columns: list[str], dims: int, seed: int = 42, gaussian: bool = False) -> DataFrame:
     """Columns K1.. from a fixed random matrix of literals; nulls count as 0."""
     import random

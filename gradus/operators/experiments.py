@@ -56,10 +56,23 @@ def paired(results: DataFrame, base: str, value: str, by: tuple[str, ...] = ("da
 
 
 def mid_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1 by ``value`` within ``by``, ties sharing their mean."""
-    order = Window.partitionBy(*by).orderBy(value)
-    same = Window.partitionBy(*by, value)
-    return df.withColumn(name, F.rank().over(order) + (F.count(F.lit(1)).over(same) - 1) / 2)
+    """Ranks from 1 by ``value`` within ``by``, ties sharing their mean.
+
+    Equal values are counted first; the counts are summed up over 1024 ranges of the values of a group and inside each,
+    so that no task sorts the rows of a group.
+    """
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    span = Window.partitionBy(*by)
+    low, high = F.min(value).over(span), F.max(value).over(span)
+    cell = F.when(high > low, F.floor((F.col(value) - low) / (high - low) * 1023)).otherwise(F.lit(0))
+    counts = counts.withColumn("_cell", cell)
+    cells = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_m"))
+    cells = cells.withColumn("_before", F.sum("_m").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_m")).drop("_m")
+    inside = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(value)) - F.col("_n")
+    same = lambda names: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
+    ranks = counts.withColumn("_inside", inside).alias("l").join(cells.alias("r"), same([*by, "_cell"]))
+    ranks = ranks.select(*[F.col(f"l.{c}").alias(f"_{c}_") for c in [*by, value]], (F.col("r._before") + F.col("l._inside") + (F.col("l._n") + 1) / 2).alias(name))
+    return df.join(ranks, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in [*by, value]]).drop(*[f"_{c}_" for c in [*by, value]])
 
 
 def friedman(results: DataFrame, value: str) -> DataFrame:
@@ -108,3 +121,17 @@ def regression_metrics(predictions: DataFrame, label: str, predicted: str, train
     y, e = F.col(label), F.col(predicted) - F.col(label)
     base = y - F.lit(train_mean)
     return predictions.agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), (F.sum(F.abs(e)) * 100 / F.sum(F.abs(base))).alias("rae"), (F.sqrt(F.sum(e * e) / F.sum(base * base)) * 100).alias("rrse"), F.corr(label, predicted).alias("correlation"))
+
+
+def win_loss(pairs: DataFrame, by: tuple[str, ...] = ("scheme", "other"), critical: float = 1.96) -> DataFrame:
+    """(.., wins, losses, difference) from rows (.., t): how often |t| passes ``critical`` on either side."""
+    out = pairs.groupBy(*by).agg(F.count(F.when(F.col("t") > critical, 1)).alias("wins"), F.count(F.when(F.col("t") < -critical, 1)).alias("losses"))
+    return out.withColumn("difference", F.col("wins") - F.col("losses"))
+
+
+def holm(tests: DataFrame, p: str, by: list[str] | None = None) -> DataFrame:
+    """``tests`` with ``adjusted``: p values by Holm's step-down rule, within ``by``; the tests of a family are few."""
+    family = Window.partitionBy(*(by or []))
+    order = family.orderBy(p)
+    step = (F.count(F.lit(1)).over(family) - F.row_number().over(order) + 1) * F.col(p)
+    return tests.withColumn("_step", step).withColumn("adjusted", F.least(F.lit(1.0), F.max("_step").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("_step")

@@ -164,12 +164,16 @@ def discretize_equal_width(df):
     return C.fit_equal_width(df, ["c_acctbal"]).transform(df).select("c_custkey", "c_acctbal")
 
 
-@query(None, "customer")
+EQUAL_FREQUENCY = """WITH k AS (SELECT c_acctbal AS v, count(*) AS n FROM customer WHERE c_acctbal IS NOT NULL GROUP BY 1), t AS (SELECT v, n, ceil(sum(n) OVER (ORDER BY v) * {bins} / (SELECT sum(n) FROM k)::DOUBLE) AS share FROM k)
+SELECT (dense_rank() OVER (ORDER BY share) - 1)::INT AS c_acctbal, sum(n)::BIGINT AS count FROM t GROUP BY share"""
+
+
+@query(EQUAL_FREQUENCY.format(bins="8"), "customer")
 def discretize_equal_frequency(df):
     return C.fit_equal_frequency(df, "c_acctbal", 8).transform(df).groupBy("c_acctbal").count()
 
 
-@query(None, "customer")
+@query(EQUAL_FREQUENCY.format(bins="floor(sqrt((SELECT count(*) FROM customer)))"), "customer")
 def discretize_pki(df):
     return C.fit_equal_frequency(df, "c_acctbal").transform(df).groupBy("c_acctbal").count()
 
@@ -179,7 +183,10 @@ def discretize_supervised(df):
     return V.fit_discretize(df, ["l_quantity", "l_discount"], "l_returnflag").transform(df).groupBy("l_quantity", "l_discount").count()
 
 
-@query("""SELECT p_partkey, p_retailprice > q3 + 1.5 * (q3 - q1) OR p_retailprice < q1 - 1.5 * (q3 - q1) AS outlier FROM part, (SELECT quantile_cont(p_retailprice, 0.25) q1, quantile_cont(p_retailprice, 0.75) q3 FROM part)""", "part")
+@query("""WITH v AS (SELECT p_retailprice AS v, row_number() OVER (ORDER BY p_retailprice) - 1 AS i, count(*) OVER () AS n FROM part), h AS (SELECT n, n // 2 AS half, n // 2 // 2 AS q FROM v LIMIT 1),
+q AS (SELECT CASE WHEN half % 2 = 1 THEN (SELECT v FROM v WHERE i = q) ELSE (SELECT avg(v) FROM v WHERE i IN (q, q + 1)) END AS q1,
+CASE WHEN half % 2 = 1 THEN (SELECT v FROM v WHERE i = h.n - q - 1) ELSE (SELECT avg(v) FROM v WHERE i IN (h.n - q - 1, h.n - q)) END AS q3 FROM h)
+SELECT p_partkey, p_retailprice > q3 + 1.5 * (q3 - q1) OR p_retailprice < q1 - 1.5 * (q3 - q1) AS outlier FROM part, q""", "part")
 def quartile_outliers(df):
     state = C.fit_quartile_flags(df, "p_retailprice", 1.5, 1e9).state
     return df.select("p_partkey", state["outlier"].alias("outlier"))
@@ -310,7 +317,7 @@ def class_conditional(df):
     return rounded(V.class_conditional(df, "n_name", "n_regionkey"))
 
 
-@query(None, "supplier")
+@query("SELECT CASE WHEN s_nationkey < 5 THEN 'few' ELSE 'many' END AS kind, count(*) * CASE WHEN s_nationkey < 5 AND count(*) > 1 THEN 3 ELSE 1 END AS count FROM supplier GROUP BY s_nationkey < 5", "supplier")
 def smote(df):
     few = df.withColumn("kind", F.when(F.col("s_nationkey") < 5, "few").otherwise("many")).select("s_suppkey", "s_acctbal", "kind")
     return V.smote(few, "s_suppkey", ["s_acctbal"], "kind", "few", 200).groupBy("kind").count()
