@@ -97,8 +97,8 @@ def _quick(tokens: np.ndarray) -> np.ndarray:
     return table
 
 
-def best_stretch(places: np.ndarray, tokens: np.ndarray, span: int) -> tuple[int, int]:
-    """(distinct tokens, first place) of the stretch of ``span`` places with most tokens; of equals the shortest, then the first."""
+def best_stretch(places: np.ndarray, tokens: np.ndarray, span: int) -> tuple[int, int, int]:
+    """(distinct tokens, first place, last place) of the stretch of ``span`` places with most tokens; of equals the shortest, then the first."""
     at, of = places.tolist(), tokens.tolist()
     held: dict[int, int] = {}
     left, best = 0, (0, 0, 0)
@@ -110,7 +110,21 @@ def best_stretch(places: np.ndarray, tokens: np.ndarray, span: int) -> tuple[int
                 del held[of[left]]
             left += 1
         best = min(best, (-len(held), place - at[left], at[left]))
-    return -best[0], best[2]
+    return -best[0], best[2], best[2] + best[1]
+
+
+def _alike(known) -> np.ndarray:
+    """Which templates share half of the shingles of the smaller one or more: versions of one notice or license."""
+    out = np.zeros((len(known), len(known)), bool)
+    for i, (_, w, a, _) in enumerate(known):
+        for j, (_, v, b, _) in enumerate(known[:i]):
+            out[i, j] = out[j, i] = w == v and 2 * len(np.intersect1d(a, b, assume_unique=True)) >= min(len(a), len(b))
+    return out
+
+
+def best_of_alike(hits: list[tuple[int, float, int, int]], alike: np.ndarray) -> list[tuple[int, float, int, int]]:
+    """The hits (template, containment, first place, last place) of a document without those that a better hit of a like template overlaps."""
+    return [h for h in hits if not any(alike[h[0], o[0]] and o[1] > h[1] and o[2] <= h[3] and h[2] <= o[3] for o in hits)]
 
 
 def _hits(words: np.ndarray, at: np.ndarray, index, quick) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -138,12 +152,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     """(doc_id, license, containment, start_word) for each notice that a row of ``docs`` holds, with its best stretch.
 
     Words are lower-cased runs of letters and digits. A template of fewer words than a shingle is one shingle of all
-    its words. Documents shorter than that, null or empty hold nothing. Repeated rows each have their own; other
+    its words. Of templates that share half of their shingles or more, such as the versions of one license, a stretch is
+    reported under those it holds most of; a document with two such notices at two places has both. Documents shorter than that, null or empty hold nothing. Repeated rows each have their own; other
     columns are ignored. ``templates`` are the notices and license texts of this package if None.
     """
     known = _templates(TEMPLATES | license_texts() if templates is None else templates)
     index = _index(known)
     needs = np.array([len(shingles) for _, _, shingles, _ in known])
+    alike = _alike(known)
 
     def run(batches):
         import pyarrow as pa
@@ -156,11 +172,15 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 edges = np.flatnonzero(np.diff(doc, prepend=-1) | np.diff(template, prepend=-1))
                 ends = np.append(edges[1:], len(doc))
                 enough = (ends - edges) / needs[template[edges]] >= threshold
+                hits: dict[int, list] = {}
                 for a, b in zip(edges[enough], ends[enough], strict=True):
                     d, i = int(doc[a]), int(template[a])
-                    held, start = best_stretch(place[a:b], token[a:b], SPAN * known[i][3])
+                    held, start, end = best_stretch(place[a:b], token[a:b], SPAN * known[i][3])
                     if held / needs[i] >= threshold:
-                        for name, value in zip(out, (first + d, known[i][0], float(held / needs[i]), int(start - at[d])), strict=True):
+                        hits.setdefault(d, []).append((i, float(held / needs[i]), int(start), int(end) + known[i][1] - 1))
+                for d, mine in hits.items():
+                    for i, share, start, _ in best_of_alike(mine, alike):
+                        for name, value in zip(out, (first + d, known[i][0], share, int(start - at[d])), strict=True):
                             out[name].append(value)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(out["at"], pa.int64())), pa.array(out["license"], pa.string()), pa.array(out["containment"], pa.float64()), pa.array(out["start_word"], pa.int64())],

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, mix64, staged, string_buffers
+from .common import chunks, mix64, numbered, staged, string_buffers
 
 LENGTH = 400
 GRAM = 64
@@ -246,10 +246,20 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) for each row of ``docs`` with an id (doc_id, text).
 
     Texts are UTF-8 bytes, null is empty; ``kept`` are the remaining bytes. Strings are judged on the input and do not
-    cross documents. Texts shorter than ``length`` lose nothing. Rows that repeat a doc_id with another text are out
-    of contract (one of them is compared); those that repeat a whole row are copies of each other.
+    cross documents. Texts shorter than ``length`` lose nothing. Rows that repeat a doc_id are documents like others,
+    each with its row; those that repeat a whole row are copies of each other. Rows with a null doc_id take no part,
+    other columns are ignored, an empty table gives no rows.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        rows = numbered(docs)
+        out = _without_repeats(rows.select(F.col("_row").alias("doc_id"), "text"), length).withColumnRenamed("doc_id", "_row")
+        return out.join(rows.select("_row", "doc_id"), "_row").select("doc_id", *[c for c in out.columns if c != "_row"])
+    return _without_repeats(docs, length)
+
+
+def _without_repeats(docs: DataFrame, length: int) -> DataFrame:
+    """``remove_repeats`` of rows (doc_id, text) whose ids are neither null nor repeated."""
     spans, whole = removed_spans(docs, length)
     notes = spans.join(whole.distinct().withColumn("whole", F.lit(True)), "doc_id", "full")
 

@@ -11,10 +11,15 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import staged
+
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 1024
 #: Candidates whose scores are held at once.
 SCORE_COLUMNS = 1024
+#: Meetings of two blocks in one Arrow batch: a batch is bounded by rows, and a row holds two blocks.
+MEETINGS = 8
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _BLOCK = "first long, ids binary, terms int, weights binary"
 
 
@@ -35,7 +40,7 @@ def _packed(rows_per_block: int, factor: float):
                 inside = np.arange(width) < lengths[a:b, None]
                 dense[inside] = flat[starts[a] : starts[b]].astype(np.int64)
                 # term-major, so that one term's weights lie together
-                yield pa.RecordBatch.from_pydict({"first": pa.array([int(ids[a])], pa.int64()), "ids": [ids[a:b].astype(np.int64).tobytes()], "terms": pa.array([width], pa.int32()), "weights": [np.ascontiguousarray(dense.T).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"first": pa.array([int(ids[a])], pa.int64()), "ids": [ids[a:b].astype(np.int64).tobytes()], "terms": pa.array([width], pa.int32()), "weights": [np.ascontiguousarray(dense.T.astype(np.int32)).tobytes()]})
 
     return pack
 
@@ -70,8 +75,8 @@ def _meet(k: int):
             for row in range(batch.num_rows):
                 at = lambda name: batch.column(name)[row].as_py()
                 q_ids, c_ids = np.frombuffer(at("q_ids"), np.int64), np.frombuffer(at("ids"), np.int64)
-                q = np.frombuffer(at("q_weights"), np.int64).reshape(at("q_terms"), len(q_ids))
-                c = np.frombuffer(at("weights"), np.int64).reshape(at("terms"), len(c_ids))
+                q = np.frombuffer(at("q_weights"), np.int32).reshape(at("q_terms"), len(q_ids)).astype(np.int64)
+                c = np.frombuffer(at("weights"), np.int32).reshape(at("terms"), len(c_ids)).astype(np.int64)
                 found = []
                 for a in range(0, len(q_ids), 128):
                     scores = accumulate(q[:, a : a + 128], c)
@@ -96,11 +101,17 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, factor: float = 256.0) -> Da
     finite = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.coalesce(finite, F.lit(False)))
     salts = max(8, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    asked = rows.where(is_query).mapInArrow(_packed(QUERY_BLOCK, factor), _BLOCK)
+    asked = staged(rows.where(is_query).mapInArrow(_packed(QUERY_BLOCK, factor), _BLOCK))
     asked = asked.toDF("q_first", "q_ids", "q_terms", "q_weights").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    blocks = rows.mapInArrow(_packed(CANDIDATE_BLOCK, factor), _BLOCK).withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(salts)).cast("int"))
+    blocks = staged(rows.mapInArrow(_packed(CANDIDATE_BLOCK, factor), _BLOCK)).withColumn("salt", F.pmod(F.xxhash64("first"), F.lit(salts)).cast("int"))
     met = blocks.join(asked, "salt").drop("salt", "first", "q_first")
-    best = met.mapInArrow(_meet(k), "query_id long, vec_id long, score long")
+    conf = rows.sparkSession.conf
+    before = conf.get(BATCH)
+    conf.set(BATCH, str(MEETINGS))
+    try:
+        best = staged(met.mapInArrow(_meet(k), "query_id long, vec_id long, score long"))
+    finally:
+        conf.set(BATCH, before)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -218,6 +218,11 @@ def test_pipeline(spark, sf):
 MIT_GRANT = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction.'
 
 
+def shingles(text):
+    w = [x for x in re.split("[^a-z0-9\x80-\U0010ffff]+", text.lower()) if x]
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def contained(text, template, span=licenses.SPAN):
     """The best share of a template's shingles in a stretch, by trying every stretch."""
     w, t = ([x for x in re.split("[^a-z0-9\x80-\U0010ffff]+", s.lower()) if x] for s in (text, template))
@@ -238,6 +243,9 @@ def test_license_scan_of_altered_notices_at_every_offset(spark):
             docs.append((len(docs), " ".join([*WORDS[:offset], *w, *WORDS[20:30]])))
     found = {(x["doc_id"], x["license"]): x["containment"] for x in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string").coalesce(1), licenses.TEMPLATES).collect()}
     expected = {(d, name): c for d, text in docs for name, t in licenses.TEMPLATES.items() if (c := contained(text, t)) >= 0.8}
+    # each document has one notice: of versions of it, those it holds most of
+    alike = lambda a, b: len(shingles(a) & shingles(b)) * 2 >= min(len(shingles(a)), len(shingles(b)))
+    expected = {(d, n): c for (d, n), c in expected.items() if not any(d == e and c < x and alike(licenses.TEMPLATES[n], licenses.TEMPLATES[o]) for (e, o), x in expected.items())}
     assert found == pytest.approx(expected)
     assert all((d, "mit-grant") in found for d in range(len(docs) - 14, len(docs), 3))
 
