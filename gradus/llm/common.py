@@ -6,6 +6,7 @@ Nulls count as empty texts.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from contextlib import contextmanager
 
@@ -35,12 +36,14 @@ _OPEN: list[list[str]] = []
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``, which a session has to name: a local one would be seen by one machine alone."""
+    """The shared folder of ``spark.checkpoint.dir``. Where none is set, a session in one process (a test) gets its own;
+    a cluster has to name one, as a local folder would be seen by one machine alone."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+        if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = folder or tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
