@@ -10,7 +10,7 @@ from ..operators import graded as G
 from ..operators import ordering as O
 from ..operators import rows as R
 from ..operators import supervised as V
-from .queries import KEYS, LINE, RESULTS, query, results, rounded
+from .queries import KEYS, LINE, RESULTS, SQL, query, results, rounded
 
 DRAW = "('0x' || substr(md5('{seed}|' || {key}::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
 
@@ -261,6 +261,9 @@ def vague_quantifier_neighbours(df):
     return rounded(N.vague_quantifier_nn(N.nearest(df, df, "s_suppkey", ["s_acctbal", "s_suppkey"], "s_nationkey", 5), "s_nationkey"))
 
 
+SQL["vague_quantifier_nn"] = SQL["vague_quantifier_neighbours"]
+
+
 @query(f"SELECT {LINE}, (l_quantity > 17)::INT + (l_quantity > 35)::INT AS l_quantity FROM lineitem", "lineitem")
 def discretize_mdl(df):
     known = df.withColumn("kind", F.when((F.col("l_quantity") > 17) & (F.col("l_quantity") <= 35), "middle").otherwise("outside"))

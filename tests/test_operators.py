@@ -118,3 +118,45 @@ def test_entropy_scores_cut_numeric_attributes(spark):
     assert found["x"]["gain_ratio"] == pytest.approx(1.0) and found["x"]["info_gain"] == pytest.approx(V.entropy([150, 250]))
     assert found["noise"]["info_gain"] == pytest.approx(0.0)
     assert found["noise"]["symmetrical_uncertainty"] == pytest.approx(0.0)
+
+
+def test_numbering_holds_for_null_textual_and_skewed_keys(spark, monkeypatch):
+    from gradus.operators import ordering as O
+
+    monkeypatch.setattr(O, "CELL_ROWS", 20)
+    rows = [(None, 0)] + [(f"k{i % 7 * 1000 + i:06d}", i) for i in range(300)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    found = [r["k"] for r in O.numbered(df, "k").orderBy("_ord").collect()]
+    assert found == [None, *sorted(k for k, _ in rows if k)]
+    skewed = spark.createDataFrame([(float(i**5), 1) for i in range(200)], "k double, v int")
+    assert [r["_ord"] for r in O.numbered(skewed, "k").orderBy("k").collect()] == list(range(1, 201))
+
+
+def test_rows_without_a_class_stay(spark):
+    df = spark.createDataFrame([(i, None if i % 4 == 0 else "ab"[i % 2]) for i in range(40)], "id int, c string")
+    assert R.add_noise(df, "id", "c", ["a", "b"], 20).count() == 40
+    assert R.class_weights(df, "c").where("c is null").agg({"_weight": "sum"}).first()[0] == 10
+    assert R.class_resample(df, "id", "c", 100).count() == 40
+
+
+def test_mid_ranks_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = [("ab"[rng.integers(2)], float(rng.integers(0, 30)) ** 3) for _ in range(200)]
+    found = sorted((r["g"], r["v"], r["rank"]) for r in X.mid_ranks(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect())
+    expected = []
+    for g in "ab":
+        values = sorted(v for h, v in rows if h == g)
+        expected += [(g, v, np.mean([i + 1 for i, w in enumerate(values) if w == v])) for v in values]
+    assert [(a, b, float(c)) for a, b, c in found] == [(a, b, float(c)) for a, b, c in expected]
+
+
+def test_principal_components_against_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 3)) @ np.array([[2, 1, 0], [0, 1, 0.5], [0, 0, 0.1]])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id int, a double, b double, c double")
+    apply, values = C.fit_principal_components(df, ["a", "b", "c"], variance=0.9)
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    assert values == pytest.approx(sorted(np.linalg.eigvalsh(np.corrcoef(x.T)), reverse=True))
+    out = np.array([[r[c] for c in r.__fields__ if c.startswith("PC")] for r in apply(df).orderBy("id").collect()])
+    assert out.var(0, ddof=1) == pytest.approx(values[: out.shape[1]]) and np.cumsum(values)[out.shape[1] - 1] >= 0.9 * 3 - 1e-9
+    assert np.linalg.matrix_rank(np.hstack([z, out]), 1e-6) == 3
