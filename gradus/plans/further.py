@@ -136,8 +136,8 @@ def transpose(df):
     return C.transpose(df.select("n_nationkey", "n_regionkey"), "n_nationkey")
 
 
-@query(f"""WITH s AS (SELECT avg(l_quantity) a, stddev_samp(l_quantity) b, avg(l_extendedprice) c, stddev_samp(l_extendedprice) d FROM lineitem)
-SELECT {LINE}, round(((l_quantity - a) / b + (l_extendedprice - c) / d) / sqrt(2), 4) + 0.0::DOUBLE AS "PC1", round(((l_quantity - a) / b - (l_extendedprice - c) / d) / sqrt(2), 4) + 0.0::DOUBLE AS "PC2" FROM lineitem, s""", "lineitem")
+@query(f"""WITH s AS (SELECT avg(l_quantity) a, stddev_samp(l_quantity) b, avg(l_extendedprice) c, stddev_samp(l_extendedprice) d, CASE WHEN corr(l_quantity, l_extendedprice) < 0 THEN -1 ELSE 1 END AS sign FROM lineitem)
+SELECT {LINE}, round(((l_quantity - a) / b + sign * (l_extendedprice - c) / d) / sqrt(2), 4) + 0.0::DOUBLE AS "PC1", round(((l_quantity - a) / b - sign * (l_extendedprice - c) / d) / sqrt(2), 4) + 0.0::DOUBLE AS "PC2" FROM lineitem, s""", "lineitem")
 def principal_components(df):
     apply, _ = C.fit_principal_components(df, ["l_quantity", "l_extendedprice"], variance=1.0)
     # no negative zeros
@@ -227,7 +227,7 @@ m AS (SELECT a.c_custkey AS x, a.c_mktsegment AS xc, b.c_mktsegment AS c, b.c_cu
 k AS (SELECT x, xc, c, avg(d1) AS d1, avg(d2) AS d2 FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY x, c ORDER BY d1 + d2, k) <= 5) GROUP BY 1, 2, 3),
 p AS (SELECT c_mktsegment AS c, count(*) / (SELECT n FROM s) AS p FROM customer GROUP BY 1),
 w AS (SELECT d1, d2, CASE WHEN k.c = xc THEN -1 ELSE p.p / (1 - o.p) END AS w FROM k JOIN p ON p.c = k.c JOIN p o ON o.c = k.xc)
-SELECT 'c_acctbal' AS attribute, round(sum(w * d1) / 200, 6) AS weight FROM w UNION ALL SELECT 'c_nationkey', round(sum(w * d2) / 200, 6) FROM w""", "customer")
+SELECT 'c_acctbal' AS attribute, round(sum(w * d1) / (SELECT count(*) FROM a), 6) AS weight FROM w UNION ALL SELECT 'c_nationkey', round(sum(w * d2) / (SELECT count(*) FROM a), 6) FROM w""", "customer")
 def relief_scores(df):
     return rounded(G.relief_scores(df, "c_custkey", ["c_acctbal", "c_nationkey"], "c_mktsegment", k=5, most=200))
 
