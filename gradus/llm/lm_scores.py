@@ -135,7 +135,8 @@ def backoff_scores(docs: DataFrame, alpha: float = ALPHA, min_count: int = MIN_C
     total = runs.agg(F.sum("words")).first()[0] or 0
     parts = max(16, -(-2 * total // PART_GRAMS))
     grams = runs.select("run", "at", "text").mapInArrow(_counted(parts), "part long, run long, grams binary, counts binary")
-    totals = grams.groupBy("part").applyInArrow(_totals, "run long, part long, n long, totals binary")
+    # staged, so that the n-grams' shuffle files, the largest, go before the texts are dealt out
+    totals = staged(grams.groupBy("part").applyInArrow(_totals, "run long, part long, n long, totals binary"))
     both = runs.select("run", "ids", "at", "text").groupBy("run").cogroup(totals.groupBy("run"))
     out = both.applyInArrow(_scores(total, alpha, min_count), "doc_id long, n_words long, log_score double")
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
