@@ -56,6 +56,21 @@ def vague_quantifier_nn(neighbours: DataFrame, target: str, alpha: float = 0.2,
     return per.select("query", "class", ((quantifier(F.col("r"), 0.1, 0.6) + quantifier(F.col("r"), alpha, beta)) / 2).alias("score"))
 
 
+def owa_nn(neighbours: DataFrame, target: str, alpha: float = 0.2, beta: float = 1.0, implicator: str = "kleene_dienes", norm: str = "min") -> DataFrame:
+    """(query, class, score): mean of ordered weighted averages, of the implications by 'most' and of the norms by 'some'.
+
+    The i-th largest of n weighs q(i / n) - q((i - 1) / n) for the quantifier q.
+    """
+    per = _by_class(neighbours, target)
+    parts = {"lower": (IMPLICATORS[implicator](F.col("w"), F.col("d")), alpha, beta), "upper": (T_NORMS[norm](F.col("w"), F.col("d")), 0.1, 0.6)}
+    n, sums = F.count(F.lit(1)).over(Window.partitionBy("query", "class")), []
+    for name, (value, a, b) in parts.items():
+        i = F.row_number().over(Window.partitionBy("query", "class").orderBy(value.desc()))
+        per = per.withColumn(name, value * (quantifier(i / n, a, b) - quantifier((i - 1) / n, a, b)))
+        sums.append(F.sum(name))
+    return per.groupBy("query", "class").agg(((sums[0] + sums[1]) / 2).alias("score"))
+
+
 def ownership_nn(neighbours: DataFrame, target: str, k: int, m: float = 2.0) -> DataFrame:
     """(query, class, score): sum of exp(-(1 / sim) ** (1 / (m - 1))) / k."""
     part = F.when(F.col("sim") > 0, F.exp(-F.pow(1 / F.col("sim"), F.lit(1 / (m - 1))))).otherwise(0.0)

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from ..operators import columns as C
 from ..operators import experiments as X
 from ..operators import graded as G
+from ..operators import instances as I
 from ..operators import ordering as O
 from ..operators import rows as R
 from ..operators import supervised as V
-from .queries import KEYS, LINE, RESULTS, SQL, query, results, rounded
+from .queries import KEYS, LINE, NEAR, RESULTS, SQL, query, results, rounded
 
 DRAW = "('0x' || substr(md5('{seed}|' || {key}::VARCHAR), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE"
 
@@ -268,3 +269,63 @@ SQL["vague_quantifier_nn"] = SQL["vague_quantifier_neighbours"]
 def discretize_mdl(df):
     known = df.withColumn("kind", F.when((F.col("l_quantity") > 17) & (F.col("l_quantity") <= 35), "middle").otherwise("outside"))
     return V.fit_discretize(known, ["l_quantity"], "kind").transform(known).select(*KEYS, "l_quantity")
+
+
+SOME = "(CASE WHEN {x} <= 0.1 THEN 0 WHEN {x} <= 0.35 THEN 2 * pow(({x} - 0.1) / 0.5, 2) WHEN {x} <= 0.6 THEN 1 - 2 * pow(({x} - 0.6) / 0.5, 2) ELSE 1 END)"
+LOWER = """WITH g AS (SELECT (max(s_acctbal) - min(s_acctbal))::DOUBLE AS r, (max(s_suppkey) - min(s_suppkey))::DOUBLE AS q FROM supplier), t AS (SELECT *, {label} AS kind FROM supplier),
+l AS (SELECT a.s_suppkey, any_value(a.kind) AS kind, 1 - greatest(0, coalesce(max(1 - abs(a.s_acctbal - b.s_acctbal) / r - abs(a.s_suppkey - b.s_suppkey) / q), 0)) AS lower
+FROM t a LEFT JOIN t b ON a.kind <> b.kind, g GROUP BY 1)"""
+KIND = "CASE WHEN s_nationkey < 8 THEN 'few' ELSE 'many' END"
+
+
+def kinds(df):
+    return df.select("s_suppkey", "s_acctbal", F.expr(KIND).alias("kind"))
+
+
+@query(LOWER.format(label="s_nationkey") + " SELECT s_suppkey, round(lower, 6) AS lower FROM l", "supplier")
+def lower_memberships(df):
+    return rounded(I.with_lower(df, ["s_acctbal", "s_suppkey"], "s_nationkey").select("s_suppkey", "lower"))
+
+
+@query(LOWER.format(label=KIND) + """, k AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY round(lower * 1e9), md5(s_suppkey::VARCHAR)) AS no FROM l)
+SELECT s_suppkey, kind FROM k WHERE kind = 'few' OR no <= (SELECT count(*) FROM l WHERE kind = 'few')""", "supplier")
+def undersample_safest(df):
+    return I.undersample_safest(kinds(df), "s_suppkey", ["s_acctbal", "s_suppkey"], "kind", "many").select("s_suppkey", "kind")
+
+
+@query(LOWER.format(label=KIND) + " SELECT s_suppkey, kind, round(lower, 6) AS lower FROM l WHERE kind = 'few' OR lower < 0.05", "supplier")
+def keep_boundary(df):
+    return rounded(I.keep_boundary(kinds(df), ["s_acctbal", "s_suppkey"], "kind", "many", 0.05).select("s_suppkey", "kind", "lower"))
+
+
+@query("""WITH k AS (SELECT * FROM supplier WHERE s_suppkey % 7 <> 0), g AS (SELECT max(s_nationkey) - min(s_nationkey) AS r, max(s_suppkey) - min(s_suppkey) AS q FROM k),
+p AS (SELECT a.s_suppkey AS query, b.s_suppkey, b.s_acctbal, (greatest(0, 1 - abs(a.s_nationkey - b.s_nationkey) / r) + greatest(0, 1 - abs(a.s_suppkey - b.s_suppkey) / q)) / 2 AS sim FROM supplier a JOIN k b ON a.s_suppkey % 7 = 0, g),
+n AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY round(sim, 9) DESC, s_suppkey) <= 5)
+SELECT s_suppkey, s_acctbal::DOUBLE AS s_acctbal FROM k UNION ALL SELECT query, round(sum(sim * s_acctbal) / sum(sim), 4) FROM n GROUP BY 1""", "supplier")
+def impute_by_neighbours(df):
+    holes = df.select("s_suppkey", "s_nationkey", F.when(F.col("s_suppkey") % 7 != 0, F.col("s_acctbal")).alias("s_acctbal"))
+    return rounded(I.impute(holes, "s_suppkey", ["s_nationkey", "s_suppkey"], "s_acctbal").select("s_suppkey", "s_acctbal"), 4)
+
+
+VOTES = NEAR + """, v AS (SELECT query, s_nationkey AS class FROM n GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY query ORDER BY sum(sim) DESC, s_nationkey) = 1)
+SELECT s_suppkey, {columns} FROM supplier JOIN v ON query = s_suppkey"""
+
+
+@query(VOTES.format(columns="class AS classification, (class <> s_nationkey)::INT AS error"), "supplier")
+def add_classification(df):
+    return I.add_classification(df, "s_suppkey", ["s_acctbal", "s_suppkey"], "s_nationkey").select("s_suppkey", "classification", "error")
+
+
+@query(VOTES.format(columns="s_nationkey") + " WHERE class = s_nationkey", "supplier")
+def remove_misclassified(df):
+    return I.remove_misclassified(df, "s_suppkey", ["s_acctbal", "s_suppkey"], "s_nationkey").select("s_suppkey", "s_nationkey")
+
+
+@query(NEAR + """, w AS (SELECT query, s_nationkey, sim / max(sim) OVER (PARTITION BY query) AS w FROM n), c AS (SELECT DISTINCT query, s_nationkey AS class FROM n),
+x AS (SELECT query, class, greatest(1 - w, (s_nationkey = class)::INT) AS i, least(w, (s_nationkey = class)::INT) AS t FROM w JOIN c USING (query)),
+o AS (SELECT *, count(*) OVER (PARTITION BY query, class) AS n, row_number() OVER (PARTITION BY query, class ORDER BY i DESC) AS a, row_number() OVER (PARTITION BY query, class ORDER BY t DESC) AS b FROM x)
+SELECT query, class, round((sum(i * (""" + QUANTIFIER.format(x="(a / n)") + " - " + QUANTIFIER.format(x="((a - 1) / n)") + ")) + sum(t * (" + SOME.format(x="(b / n)") + " - " + SOME.format(x="((b - 1) / n)") + "))) / 2, 6) AS score FROM o GROUP BY 1, 2", "supplier")
+def owa_neighbours(df):
+    from ..operators import neighbours as N
+
+    return rounded(N.owa_nn(N.nearest(df, df, "s_suppkey", ["s_acctbal", "s_suppkey"], "s_nationkey", 5), "s_nationkey"))

@@ -36,3 +36,14 @@ def write_csv(df: DataFrame, path: str, compression: str = "none") -> None:
 def missing_keys(wanted: DataFrame, stored: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of ``wanted`` that have no stored result yet."""
     return wanted.join(stored.select(*keys), keys, "left_anti")
+
+
+def point_read(stored: DataFrame, key: dict, column: str):
+    """The value of a column in the row of a key; LookupError unless there is exactly one such row."""
+    wanted = stored
+    for name, value in key.items():
+        wanted = wanted.where(F.col(name).eqNullSafe(F.lit(value)))
+    rows = wanted.select(column).head(2)
+    if len(rows) != 1:
+        raise LookupError(f"{'no row' if not rows else 'several rows'} of {key}")
+    return rows[0][0]
