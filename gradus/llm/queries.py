@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, lm_scores, mixing, ngram_join, suffix_dedup, tokens, topk, toxicity
+from . import alignment, decontaminate, licenses, line_dedup, lm_scores, mixing, ngram_join, sharding, suffix_dedup, tokens, topk, toxicity
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_license_scan": licenses.query,
         "op9_line_dedup": line_dedup.query,
         "op10_ngram_join": ngram_join.query,
+        "op11_shard": sharding.query,
+        "op12_align_tokens": alignment.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffix_dedup.SQL, "op5_lm_scores": lm_scores.SQL, "op6_exact_top_k": topk.SQL, "op9_line_dedup": line_dedup.SQL, "op10_ngram_join": ngram_join.SQL}
+    return {"op1_mix_sources": mixing.SQL, "op2_suffix_dedup": suffix_dedup.SQL, "op5_lm_scores": lm_scores.SQL, "op6_exact_top_k": topk.SQL, "op9_line_dedup": line_dedup.SQL, "op10_ngram_join": ngram_join.SQL, "op11_shard": sharding.SQL}
