@@ -1,3 +1,3 @@
 """Queries over the sample tables."""
 
-from . import further, queries  # noqa: F401  both register theirs
+from . import further, learning, queries  # noqa: F401  all register theirs
