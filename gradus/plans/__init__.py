@@ -1,3 +1,3 @@
 """Queries over the sample tables."""
 
-from . import further, learning, queries  # noqa: F401  all register theirs
+from . import balancing, further, learning, queries  # noqa: F401  all register theirs
