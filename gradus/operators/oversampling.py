@@ -3,7 +3,9 @@
 The similarity of two rows is the Lukasiewicz norm of their columns' similarities: 1 - |difference| / range of numbers,
 1 or 0 of labels; a null is similar to all. A row's membership in its class is 1 less its similarity to the nearest row of
 another class (``standard``), or 1 less its mean similarity to those (``mean``); 1 without any. The search is exact: blocks
-of rows meet in tasks dealt out by salt, and a meeting gives back a few numbers for each row, never the pairs.
+of rows meet in tasks dealt out by salt, and a meeting gives back a few numbers for each row, never the pairs. Other kinds:
+``combined`` is the mean of the standard one and the similarity to the nearest other row of the class; ``vague`` is how far
+"most" of what is similar to the row is of its class.
 
 Draws are digests of (seed, class, number), so reruns agree. Synthetic rows have a null key, and nulls in the columns that
 aren't named. Rows without a class stay and take no other part. Keys have to be unique; classes are few.
@@ -15,6 +17,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.degrees import quantifier
 from .columns import label_table, statistics
 
 #: Rows in a block; a meeting takes a table of BLOCK by BLOCK numbers.
@@ -82,8 +85,9 @@ def _sides(batch, i: int, width: int):
     return x, y, batch.column("ids")[i].values, batch.column("other_ids")[i].values, batch.column("classes")[i].values, batch.column("other_classes")[i].values
 
 
-def _memberships(rows: DataFrame, others: DataFrame, numbers: int, labels: int, kind: str = "standard") -> DataFrame:
-    """(id, membership) of ``rows``, whose enemies are the ``others`` of another class."""
+def _similarities(rows: DataFrame, others: DataFrame, numbers: int, labels: int) -> DataFrame:
+    """For each of ``rows``: (id, near, total, enemies) the greatest, the sum and the number of its similarities to ``others``
+    of another class, and (friend, friends) the greatest and the sum of those to others of its class; itself is none."""
     width = numbers + labels
 
     def run(batches):
@@ -92,17 +96,34 @@ def _memberships(rows: DataFrame, others: DataFrame, numbers: int, labels: int,
 
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y, ids, _, a, b = _sides(batch, i, width)
+                x, y, ids, there, a, b = _sides(batch, i, width)
                 known = pc.unique(pa.concat_arrays([a, b]))
                 enemy = pc.index_in(a, known).to_numpy()[:, None] != pc.index_in(b, known).to_numpy()[None, :]
-                sim = np.maximum(0, 1 - _distances(x, y, numbers)) * enemy
-                yield pa.RecordBatch.from_arrays([ids, pa.array(sim.max(1)), pa.array(sim.sum(1)), pa.array(enemy.sum(1))], names=["id", "near", "total", "enemies"])
-
-    met = _met(rows, others, run, "id string, near double, total double, enemies long").groupBy("id").agg(F.max("near").alias("near"), F.sum("total").alias("total"), F.sum("enemies").alias("enemies"))
-    if kind not in ("standard", "mean"):
-        raise ValueError(f"{kind} is neither standard nor mean")
-    enemy = F.col("near") if kind == "standard" else F.when(F.col("enemies") > 0, F.col("total") / F.col("enemies")).otherwise(0.0)
-    return met.select("id", F.round(1 - enemy, _DIGITS).alias("membership"))
+                sim = np.maximum(0, 1 - _distances(x, y, numbers))
+                own = pc.fill_null(pc.index_in(ids, there), -1).to_numpy()
+                far, close = sim * enemy, sim * ~enemy
+                close[np.flatnonzero(own >= 0), own[own >= 0]] = 0
+                columns = [far.max(1), far.sum(1), enemy.sum(1), close.max(1), close.sum(1)]
+                yield pa.RecordBatch.from_arrays([ids, *map(pa.array, columns)], names=["id", "near", "total", "enemies", "friend", "friends"])
+
+    met = _met(rows, others, run, "id string, near double, total double, enemies long, friend double, friends double")
+    return met.groupBy("id").agg(F.max("near").alias("near"), F.sum("total").alias("total"), F.sum("enemies").alias("enemies"), F.max("friend").alias("friend"), F.sum("friends").alias("friends"))
+
+
+#: Memberships by kind, of the columns of ``_similarities``; a row is wholly similar to itself.
+KINDS = {
+    "standard": lambda: 1 - F.col("near"),
+    "mean": lambda: 1 - F.when(F.col("enemies") > 0, F.col("total") / F.col("enemies")).otherwise(0.0),
+    "combined": lambda: (1 - F.col("near") + F.col("friend")) / 2,
+    "vague": lambda: quantifier((1 + F.col("friends")) / (1 + F.col("friends") + F.col("total")), 0.2, 1.0),
+}
+
+
+def _memberships(rows: DataFrame, others: DataFrame, numbers: int, labels: int, kind: str = "standard") -> DataFrame:
+    """(id, membership) of ``rows``, whose enemies are the ``others`` of another class."""
+    if kind not in KINDS:
+        raise ValueError(f"{kind} is none of {', '.join(KINDS)}")
+    return _similarities(rows, others, numbers, labels).select("id", F.round(KINDS[kind](), _DIGITS).alias("membership"))
 
 
 def memberships(df: DataFrame, key: str, numeric: list[str], target: str, nominal: list[str] | None = None, kind: str = "standard") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import oversampling as B
+from ..operators import prototypes as P
 from .queries import query, rounded
 
 #: Customers of three unequal kinds, with two numbers and a label.
@@ -77,3 +78,33 @@ one AS (SELECT new.kind, slot, a.id, a.x, a.y, 1 + floor({u("new.kind", "slot",
 SELECT kind, round(one.x + share * (near.x - one.x), 4) AS c_acctbal, round(one.y + share * (near.y - one.y), 4) AS part, label.s AS c_mktsegment FROM one JOIN near ON near.id = one.id AND near.rank = one.rank JOIN label ON label.id = one.id""", "customer")
 def graded_smote(df):
     return new_rows(B.graded_smote(customers(df), "c_custkey", NUMERIC, "kind", NOMINAL, percent=150))
+
+
+SUPPLIERS = "SELECT s_suppkey, s_acctbal, (s_suppkey * 7919 % 100)::DOUBLE AS part, CASE WHEN s_acctbal + (s_suppkey * 7919 % 100) * 40 < 5000 THEN 'low' ELSE 'high' END AS kind FROM supplier"
+
+
+def kept(kind: str, threshold: float) -> str:
+    cover = "round(sim, 9) >= round(1 - b.m, 9)" if threshold < 0 else f"round(sim, 9) > {threshold}"
+    m = "1 - near" if kind == "standard" else "(1 - near + friend) / 2"
+    return f"""WITH RECURSIVE r AS (SELECT s_suppkey::VARCHAR AS id, s_acctbal AS x, part AS y, kind FROM ({SUPPLIERS})), g AS (SELECT max(x) - min(x) AS rx, max(y) - min(y) AS ry FROM r),
+pairs AS (SELECT a.id, b.id AS other, a.kind = b.kind AS same, greatest(0, 1 - abs(a.x / rx - b.x / rx) - abs(a.y / ry - b.y / ry)) AS sim FROM r a JOIN r b ON a.id <> b.id, g),
+m AS (SELECT id, round({m}, 9) AS m FROM (SELECT id, coalesce(max(sim) FILTER (WHERE NOT same), 0) AS near, coalesce(max(sim) FILTER (WHERE same), 0) AS friend FROM pairs GROUP BY 1)),
+o AS (SELECT id, m, row_number() OVER (ORDER BY m DESC, id) AS no FROM m),
+c AS (SELECT b.no, coalesce(list(a.no) FILTER (WHERE a.no < b.no AND same AND {cover}), []) AS by_ FROM o b LEFT JOIN pairs p ON p.id = b.id LEFT JOIN o a ON a.id = p.other GROUP BY 1),
+walk AS (SELECT 0::BIGINT AS no, []::BIGINT[] AS kept UNION ALL SELECT c.no, CASE WHEN len(list_intersect(by_, kept)) = 0 THEN list_append(kept, c.no) ELSE kept END FROM walk JOIN c ON c.no = walk.no + 1)
+SELECT s_suppkey, kind FROM ({SUPPLIERS}) s JOIN o ON o.id = s.s_suppkey::VARCHAR WHERE list_contains((SELECT kept FROM walk ORDER BY no DESC LIMIT 1), o.no)"""
+
+
+def suppliers(df):
+    part = (F.col("s_suppkey") * 7919 % 100).cast("double")
+    return df.select("s_suppkey", "s_acctbal", part.alias("part"), F.when(F.col("s_acctbal") + part * 40 < 5000, "low").otherwise("high").alias("kind"))
+
+
+@query(kept("standard", -1), "supplier")
+def keep_prototypes(df):
+    return P.prototypes(suppliers(df), "s_suppkey", ["s_acctbal", "part"], "kind").select("s_suppkey", "kind")
+
+
+@query(kept("combined", 0.8), "supplier")
+def keep_combined_prototypes(df):
+    return P.prototypes(suppliers(df), "s_suppkey", ["s_acctbal", "part"], "kind", kind="combined", threshold=0.8).select("s_suppkey", "kind")
