@@ -1,3 +1,3 @@
 """Queries over the sample tables."""
 
-from . import balancing, further, learning, queries, reducts  # noqa: F401  all register theirs
+from . import balancing, clusters, further, learning, queries, reducts  # noqa: F401  all register theirs
