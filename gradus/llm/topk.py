@@ -36,24 +36,44 @@ def _packed(rows_per_block: int, factor: float):
             for a in range(0, len(ids), rows_per_block):
                 b = min(a + rows_per_block, len(ids))
                 width = int(lengths[a:b].max(initial=0))
-                dense = np.zeros((b - a, width), np.int64)
+                dense = np.zeros((b - a, width))
                 inside = np.arange(width) < lengths[a:b, None]
-                dense[inside] = flat[starts[a] : starts[b]].astype(np.int64)
+                dense[inside] = flat[starts[a] : starts[b]]
+                small = np.abs(dense).max(initial=0) < 2.0**31
                 # term-major, so that one term's weights lie together
-                yield pa.RecordBatch.from_pydict({"first": pa.array([int(ids[a])], pa.int64()), "ids": [ids[a:b].astype(np.int64).tobytes()], "terms": pa.array([width], pa.int32()), "weights": [np.ascontiguousarray(dense.T.astype(np.int32)).tobytes()]})
+                yield pa.RecordBatch.from_pydict({"first": pa.array([int(ids[a])], pa.int64()), "ids": [ids[a:b].astype(np.int64).tobytes()], "terms": pa.array([width], pa.int32()), "weights": [np.ascontiguousarray(dense.T.astype(np.int32 if small else np.float64)).tobytes()]})
 
     return pack
 
 
+def _weights(blob: bytes, terms: int, n: int) -> np.ndarray:
+    """A block's whole numbers by term: four bytes each or, if some are larger, doubles, which hold a floored number exactly."""
+    wide = len(blob) == 8 * terms * n and terms * n > 0
+    return np.frombuffer(blob, np.float64 if wide else np.int32).reshape(terms, n)
+
+
+def _exact(queries: np.ndarray, candidates: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as 64-bit numbers if no score of theirs can pass 64 bits, else as Python's whole numbers."""
+    n = min(len(queries), len(candidates))
+    most = [np.abs(x.astype(np.float64)).max(axis=1, initial=0) for x in (queries, candidates)]
+    if (most[0][:n] * most[1][:n]).sum() < 2.0**62 and all(m.max(initial=0) < 2.0**62 for m in most):
+        return queries.astype(np.int64), candidates.astype(np.int64)
+    return tuple(np.array([[int(v) for v in row] for row in x], object).reshape(x.shape) for x in (queries, candidates))
+
+
 def accumulate(queries: np.ndarray, candidates: np.ndarray) -> np.ndarray:
     """Integer inner products of term-major weights: (terms, q) and (terms, c) to (q, c)."""
-    scores = np.zeros((queries.shape[1], candidates.shape[1]), np.int64)
+    scores = np.zeros((queries.shape[1], candidates.shape[1]), queries.dtype)
     for term in range(min(len(queries), len(candidates))):
         rows = np.flatnonzero(queries[term])
         if len(rows) == queries.shape[1]:
             scores += queries[term][:, None] * candidates[term]
         elif len(rows):
             scores[rows] += queries[term][rows][:, None] * candidates[term]
+    if scores.dtype == object:
+        if any(abs(v) >= 1 << 63 for v in scores.ravel()):
+            raise OverflowError("a score passes 64 bits: take a smaller factor")
+        scores = scores.astype(np.int64)
     return scores
 
 
@@ -75,8 +95,7 @@ def _meet(k: int):
             for row in range(batch.num_rows):
                 at = lambda name: batch.column(name)[row].as_py()
                 q_ids, c_ids = np.frombuffer(at("q_ids"), np.int64), np.frombuffer(at("ids"), np.int64)
-                q = np.frombuffer(at("q_weights"), np.int32).reshape(at("q_terms"), len(q_ids)).astype(np.int64)
-                c = np.frombuffer(at("weights"), np.int32).reshape(at("terms"), len(c_ids)).astype(np.int64)
+                q, c = _exact(_weights(at("q_weights"), at("q_terms"), len(q_ids)), _weights(at("weights"), at("terms"), len(c_ids)))
                 found = []
                 for a in range(0, len(q_ids), 128):
                     scores = accumulate(q[:, a : a + 128], c)
@@ -94,7 +113,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, factor: float = 256.0) -> Da
     """(query_id, rank, vec_id, score) of the ``k`` best candidates of each row that ``is_query`` selects.
 
     ``vectors`` has vec_id and embedding (an array); components become floor(factor * x) and scores are integer inner
-    products, so |factor * x| has to stay below 2**26 or so. Vectors (or ids) that are null, or hold null or
+    products, exact however large; one that passes 64 bits raises. Vectors (or ids) that are null, or hold null or
     non-finite components, take no part; shorter vectors count as 0 beyond their end; an empty vector scores 0. A row
     is no candidate for queries of its own id; repeated other rows each count. Other columns are ignored.
     """
