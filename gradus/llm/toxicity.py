@@ -164,12 +164,15 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, swapped: np.ndarray, of: np.ndarr
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES, groups=IDENTITY_GROUPS) -> ToxicityModel:
     """A model of ``labels.toxic`` over texts of ``docs``, from at most ``max_train`` labelled documents.
 
-    Null labels are left out, repeated ones count as their largest; labels without a text teach nothing. Without
+    Null labels are left out, repeated ones count as their largest; labels without a text teach nothing, and of the texts
+    of one id the smallest does. Without
     both classes the score is the share of toxic rows (0 without rows).
     """
     chosen = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("double").alias("toxic"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)  # bounded, so it can be broadcast
-    train = staged(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text"))
+    known = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    # an id that repeats teaches once, by the smallest of its texts
+    train = staged(known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text"))
     sizes = {r["toxic"]: r["count"] for r in train.groupBy("toxic").count().collect()}
     bad, good = sizes.get(1.0, 0), sizes.get(0.0, 0)
     if not bad or not good:
