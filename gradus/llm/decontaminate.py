@@ -143,7 +143,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
     Words are lower-cased runs of letters and digits. Items of fewer words than a shingle are one shingle of all their
     words; items and documents without words (null, empty) match nothing; a document shorter than an item is one
-    window. Repeated documents each have their rows, repeated items of one id count once.
+    window. Rows of one doc_id have the matches of each of their texts, equal matches once; repeated items of one id count once.
     """
 
     def run_with(index):
@@ -225,4 +225,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
 
 def query(spark, sf_dir: str) -> DataFrame:
     out = benchmark_matches(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), F.min("start_word").alias("start_word"))
+    best = out.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start_word")).alias("back"))).alias("b"))
+    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start_word"))

@@ -215,3 +215,38 @@ def test_exact_score_beyond_64_bits(spark):
 @pytest.mark.parametrize("name", ["op11_shard", "op13_collocations"])
 def test_same_as_sql(spark, sf, name):
     assert_same(queries.queries()[name](spark, sf), queries.oracle_sql()[name], sf)
+
+
+def test_top_k_of_large_components(spark):
+    from gradus.llm import topk
+
+    rows = [(0, [1.0, 0.0]), (1, [1e7, 0.0]), (2, [2.0, 5.0]), (3, [0.0, 1e30]), (4, [-3e6, 1e12]), (50, [1e6, 0.0])]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, 4).collect()
+    w = {i: [math.floor(256 * x) for x in v] for i, v in rows}
+    for q in (0, 50):
+        scores = sorted((-sum(a * b for a, b in zip(w[q], w[i])), i) for i in w if i != q)[:4]
+        assert [(r.vec_id, r.score) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] == [(i, -s) for s, i in scores]
+    beyond = spark.createDataFrame([(0, [1e16]), (1, [1e16])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(beyond, F.col("vec_id") == 0).collect()
+
+
+def test_labels_of_repeated_ids(spark):
+    from gradus.llm import toxicity
+
+    rows = [(i, "you vile awful thing" if i % 2 else "a calm plain day") for i in range(30)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, toxic int")
+    once = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    many = toxicity.fit(spark.createDataFrame(rows * 3 + [(3, "zzz later text")], "doc_id long, text string"), labels)
+    assert np.array_equal(once.table, many.table) and np.allclose(once.weights, many.weights)
+
+
+def test_best_window_of_repeated_ids(spark, tmp_path):
+    from gradus.llm import decontaminate
+
+    item = " ".join(f"i{k}" for k in range(20))
+    near = " ".join("other" if k == 2 else f"i{k}" for k in range(20))
+    spark.createDataFrame([(1, "x y z " + item), (1, near + " tail")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    (r,) = decontaminate.query(spark, str(tmp_path)).collect()
+    assert (r.doc_id, r.item_id, r.similarity, r.start_word) == (1, 7, 1.0, 3)
