@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.degrees import IMPLICATORS, SIMILARITIES, T_NORMS, fold, quantifier
 from .columns import statistics
 from .measures import collapsed
+from .meetings import met, order_of, packed, same, vectors
 
 
 def graded_pairs(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz") -> DataFrame:
@@ -105,24 +107,56 @@ def dependency_merit(df: DataFrame, columns: list[str], target: str, measure: Ca
     return lambda subset: min(1.0, value(subset) / whole) if subset else 0.0
 
 
-def relief_scores(df: DataFrame, key: str, columns: list[str], target: str, k: int = 10, most: int = 1000) -> DataFrame:
+def _near_by_class(k: int, spread: list[float]):
+    """Of each row that asks the ``k`` nearest rows of each class of a block, its own key left out, with the differences by column."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = vectors(batch, "q_vectors", i, len(spread)), vectors(batch, "vectors", i, len(spread))
+                asked, own, keys, classes = (batch.column(c)[i].values for c in ("q_k", "q_c", "k", "c"))
+                order = order_of(keys)
+                keys, classes, y = keys.take(pa.array(order)), classes.take(pa.array(order)), y[order]
+                d = np.stack([np.abs(y[None, :, a] - x[:, a, None]) / width for a, width in enumerate(spread)], axis=2)
+                d[np.isnan(d)] = 0.5
+                far = np.zeros(d.shape[:2])
+                for a in range(len(spread)):
+                    far += d[:, :, a]
+                far[same(asked, keys)] = np.inf
+                found = []
+                for label in classes.unique():
+                    at = np.flatnonzero(same(pa.array([label.as_py()], classes.type), classes)[0])
+                    best = at[np.argsort(far[:, at], axis=1, kind="stable")[:, :k]]
+                    found.append((np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()))
+                r, c = (np.concatenate(v) for v in zip(*found))
+                kept = np.isfinite(far[r, c])
+                r, c = r[kept], c[kept]
+                parts = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * len(spread), pa.int32()), pa.array(d[r, c].ravel()))
+                yield pa.RecordBatch.from_arrays([asked.take(pa.array(r)), own.take(pa.array(r)), classes.take(pa.array(c)), keys.take(pa.array(c)), pa.array(far[r, c]), parts], names=["q", "qc", "c", "k", "far", "d"])
+
+    return run
+
+
+def relief_scores(df: DataFrame, key: str, columns: list[str], target: str, k: int = 10, most: int | None = None, seed: int = 1) -> DataFrame:
     """(attribute, weight): how much better attributes tell a row's nearest rows of other classes apart than those of its own.
 
-    The rows of the ``most`` smallest keys are compared with all others by the sum of range-scaled differences (a
-    documented sample, as relief takes one; all rows, if fewer). A null differs by 0.5. Ties go to the smaller key.
+    All rows (or, if ``most`` is given, as many by their keys' digests) are compared with all others by the sum of
+    range-scaled differences. A null differs by 0.5. Ties go to the smaller key. Blocks of rows meet, and a meeting gives
+    back k rows for each row and class.
     """
     s = statistics(df, columns)
-    known = df.where(F.col(target).isNotNull())
+    known = df.where(F.col(target).isNotNull() & F.col(key).isNotNull())
     counts = known.groupBy(F.col(target).alias("c")).agg(F.count(F.lit(1)).alias("n"))
     total = float(known.count() or 1)
-    asked = known.orderBy(key).limit(most).select(F.col(key).alias("q"), F.col(target).alias("qc"), *[F.col(c).alias(f"q_{c}") for c in columns])
-    spread = {c: float((s[c]["max"] or 0) - (s[c]["min"] or 0)) or 1.0 for c in columns}
-    diff = {c: F.coalesce(F.abs(F.col(c) - F.col(f"q_{c}")) / spread[c], F.lit(0.5)) for c in columns}
-    met = known.join(F.broadcast(asked), F.col(key) != F.col("q"))  # ``most`` rows at most
-    met = met.select("q", "qc", F.col(target).alias("c"), F.col(key).alias("k"), *[diff[c].alias(f"d_{c}") for c in columns])
-    far = sum((F.col(f"d_{c}") for c in columns), F.lit(0.0))
-    near = met.withColumn("r", F.row_number().over(Window.partitionBy("q", "c").orderBy(far, "k"))).where(F.col("r") <= k)
-    means = near.groupBy("q", "qc", "c").agg(*[F.avg(f"d_{c}").alias(f"d_{c}") for c in columns])
+    spread = [float((s[c]["max"] or 0) - (s[c]["min"] or 0)) or 1.0 for c in columns]
+    rows = known.select(F.col(key).alias("k"), F.col(target).alias("c"), *columns)
+    some = rows if most is None else rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("k").cast("string"))), "k").limit(most)
+    kinds = [rows.schema[c].dataType.simpleString() for c in ("k", "c")]
+    near = met(packed(some, ["k", "c"], columns, "q_"), packed(rows, ["k", "c"], columns), _near_by_class(k, spread), f"q {kinds[0]}, qc {kinds[1]}, c {kinds[1]}, k {kinds[0]}, far double, d array<double>")
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q", "c").orderBy("far", "k"))).where(F.col("r") <= k)
+    means = near.groupBy("q", "qc", "c").agg(*[F.avg(F.col("d")[i]).alias(f"d_{c}") for i, c in enumerate(columns)])
     prior = F.col("n") / total
     own = counts.select(F.col("c").alias("qc"), prior.alias("own"))
     means = means.join(F.broadcast(counts), "c").join(F.broadcast(own), "qc")  # a row a class

@@ -223,14 +223,14 @@ def fuzzy_rough_merits(df):
     return df.sparkSession.createDataFrame(rows, "attributes string, merit double")
 
 
-@query("""WITH s AS (SELECT max(c_acctbal) - min(c_acctbal) AS r, max(c_nationkey) - min(c_nationkey) AS q, count(*)::DOUBLE AS n FROM customer), a AS (SELECT * FROM customer ORDER BY c_custkey LIMIT 200),
+@query("""WITH s AS (SELECT max(c_acctbal) - min(c_acctbal) AS r, max(c_nationkey) - min(c_nationkey) AS q, count(*)::DOUBLE AS n FROM customer), a AS (SELECT * FROM customer),
 m AS (SELECT a.c_custkey AS x, a.c_mktsegment AS xc, b.c_mktsegment AS c, b.c_custkey AS k, abs(a.c_acctbal - b.c_acctbal) / r AS d1, abs(a.c_nationkey - b.c_nationkey)::DOUBLE / q AS d2 FROM a JOIN customer b ON a.c_custkey <> b.c_custkey, s),
 k AS (SELECT x, xc, c, avg(d1) AS d1, avg(d2) AS d2 FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY x, c ORDER BY d1 + d2, k) <= 5) GROUP BY 1, 2, 3),
 p AS (SELECT c_mktsegment AS c, count(*) / (SELECT n FROM s) AS p FROM customer GROUP BY 1),
 w AS (SELECT d1, d2, CASE WHEN k.c = xc THEN -1 ELSE p.p / (1 - o.p) END AS w FROM k JOIN p ON p.c = k.c JOIN p o ON o.c = k.xc)
 SELECT 'c_acctbal' AS attribute, round(sum(w * d1) / (SELECT count(*) FROM a), 6) AS weight FROM w UNION ALL SELECT 'c_nationkey', round(sum(w * d2) / (SELECT count(*) FROM a), 6) FROM w""", "customer")
 def relief_scores(df):
-    return rounded(G.relief_scores(df, "c_custkey", ["c_acctbal", "c_nationkey"], "c_mktsegment", k=5, most=200))
+    return rounded(G.relief_scores(df, "c_custkey", ["c_acctbal", "c_nationkey"], "c_mktsegment", k=5))
 
 
 @query(RESULTS + """, d AS (SELECT a.dataset, a.scheme, b.scheme AS other, avg(a.value - b.value) / nullif(stddev_samp(a.value - b.value) * sqrt(1.0 / count(*) + 0.1), 0) AS t FROM r a JOIN r b USING (dataset, run, fold) WHERE a.scheme <> b.scheme GROUP BY 1, 2, 3)
