@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import distributions as D
 from ..operators import oversampling as B
 from ..operators import prototypes as P
 from .queries import query, rounded
@@ -108,3 +109,56 @@ def keep_prototypes(df):
 @query(kept("combined", 0.8), "supplier")
 def keep_combined_prototypes(df):
     return P.prototypes(suppliers(df), "s_suppkey", ["s_acctbal", "part"], "kind", kind="combined", threshold=0.8).select("s_suppkey", "kind")
+
+
+COUNTS = "SELECT c_custkey, c_nationkey::DOUBLE AS a, (c_custkey % 7)::DOUBLE AS b, (10 + c_custkey % 60)::DOUBLE AS d, c_mktsegment AS kind FROM customer"
+COLUMNS = ["a", "b", "d"]
+
+
+def counts(df):
+    key = F.col("c_custkey")
+    return df.select("c_custkey", F.col("c_nationkey").cast("double").alias("a"), (key % 7).cast("double").alias("b"), (10 + key % 60).cast("double").alias("d"), F.col("c_mktsegment").alias("kind"))
+
+
+def drawn(df, kind: str):
+    return rounded(D.resample_from_distributions(counts(df), COLUMNS, "kind", kind, 40, ["BUILDING", "MACHINERY"]).select("kind", *COLUMNS), 5)
+
+
+def _normal(*parts: str) -> str:
+    r, t = u(*parts, "'r'"), u(*parts, "'t'")
+    return f"sqrt(-2 * ln(1 - {r})) * cos(2 * pi() * {t})"
+
+
+def _poisson(mean: str, *parts: str) -> str:
+    below = f"list_sum(list_transform(range(151), lambda k: CASE WHEN list_sum(list_transform(range(k + 1), lambda j: exp(j * ln({mean}) - {mean} - lgamma(j + 1)))) < {u(*parts)} THEN 1 ELSE 0 END))"
+    return f"CASE WHEN {mean} < 30 THEN {below} ELSE greatest(0, floor({mean} + sqrt({mean}) * {_normal(*parts)} + 0.5)) END::DOUBLE"
+
+
+FITTED = f"""WITH r AS ({COUNTS}), p AS (SELECT kind, count(*) AS n, """ + ", ".join(f"min({c}) AS low_{c}, max({c}) AS high_{c}, avg({c}) AS mean_{c}, stddev_samp({c}) AS sd_{c}, sum({c}) AS total_{c}" for c in COLUMNS) + " FROM r WHERE kind IN ('BUILDING', 'MACHINERY') GROUP BY 1), s AS (SELECT *, unnest(range(1, 41)) AS slot FROM p)"
+REST = " UNION ALL SELECT kind, a, b, d FROM r WHERE kind NOT IN ('BUILDING', 'MACHINERY')"
+
+
+def _drawn(of) -> str:
+    return FITTED + " SELECT kind, " + ", ".join(f"round(greatest(0, {of(c, i)}), 5) AS {c}" for i, c in enumerate(COLUMNS)) + " FROM s" + REST
+
+
+@query(_drawn(lambda c, i: f"low_{c} + {u('kind', 'slot', repr(str(i)))} * (high_{c} - low_{c})"), "customer")
+def resample_uniform(df):
+    return drawn(df, "uniform")
+
+
+@query(_drawn(lambda c, i: f"mean_{c} + {_normal('kind', 'slot', repr(str(i)))} * sd_{c}"), "customer")
+def resample_gaussian(df):
+    return drawn(df, "gaussian")
+
+
+@query(_drawn(lambda c, i: _poisson(f"mean_{c}", "kind", "slot", repr(str(i)))), "customer")
+def resample_poisson(df):
+    return drawn(df, "poisson")
+
+
+@query(FITTED + f""", t AS (SELECT kind, slot, total_a / w AS x, (total_a + total_b) / w AS y, {_poisson("(w / n)", "kind", "slot", "'n'")} AS trials FROM (SELECT *, total_a + total_b + total_d AS w FROM s)),
+e AS (SELECT kind, slot, (v >= x)::INT + (v >= y)::INT AS spot FROM (SELECT *, {u('kind', 'slot', 'k')} AS v FROM (SELECT *, unnest(range(1, trials::BIGINT + 1)) AS k FROM t)))
+SELECT kind, count(*) FILTER (WHERE spot = 0)::DOUBLE AS a, count(*) FILTER (WHERE spot = 1)::DOUBLE AS b, count(*) FILTER (WHERE spot = 2)::DOUBLE AS d FROM (SELECT t.kind, t.slot, spot FROM t LEFT JOIN e USING (kind, slot)) GROUP BY kind, slot""" + REST, "customer")
+def resample_multinomial(df):
+    return drawn(df, "multinomial")
