@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .supervised import fit_discretize
@@ -43,17 +43,23 @@ def one_rule_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame
     return best.groupBy("attribute").agg((F.sum("m") * 100.0 / F.sum("t")).alias("accuracy"))
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson's correlation of the rows that have both; null where one of them is constant."""
+    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(F.when(y.isNotNull(), x)) * F.stddev_pop(F.when(x.isNotNull(), y)))
+
+
 def correlations(df: DataFrame, columns: list[str], target: str) -> dict[tuple[str, str], float]:
-    """Absolute Pearson correlations of all pairs, the target included, in one job."""
+    """Absolute Pearson correlations of all pairs, the target included, in one job; 0 with a constant column."""
     names = [*columns, target]
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
-    row = df.agg(*[F.abs(F.corr(F.col(a).cast("double"), F.col(b).cast("double"))).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[F.abs(_correlation(a, b)).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
     return {pair: row[f"p{i}"] or 0.0 for i, pair in enumerate(pairs)}
 
 
 def correlation_scores(df: DataFrame, columns: list[str], target: str) -> DataFrame:
-    """(attribute, correlation) with a numeric target."""
-    wide = df.agg(*[F.corr(F.col(c).cast("double"), F.col(target).cast("double")).alias(c) for c in columns])
+    """(attribute, correlation) with a numeric target; null for a constant attribute."""
+    wide = df.agg(*[_correlation(c, target).alias(c) for c in columns])
     return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("attribute"), F.col(c).alias("correlation")) for c in columns])).alias("x")).select("x.*")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import clauses as L
+from ..operators import grouping as P
 from .queries import query, rounded
 
 NUMERIC, NOMINAL = ["level", "size"], ["nation"]
@@ -55,3 +56,28 @@ def greedy_reduct(df):
     chosen = L.greedy_reduct(table, 3)
     table.unpersist()
     return df.sparkSession.createDataFrame([(i + 1, [*NUMERIC, *NOMINAL][c]) for i, c in enumerate(chosen)], "place int, attribute string")
+
+
+LINES = ["l_quantity", "l_extendedprice", "double", "noisy", "l_tax", "mixed"]
+MADE = "SELECT l_quantity, l_extendedprice, 2 * l_quantity + 1 AS double, l_quantity + 40 * l_tax AS noisy, l_tax, l_discount * 100 + l_quantity AS mixed, l_quantity + 200 * l_discount AS y FROM lineitem"
+
+
+def made(df):
+    q, t, d = (F.col(f"l_{c}") for c in ("quantity", "tax", "discount"))
+    return df.select("l_quantity", "l_extendedprice", (2 * q + 1).alias("double"), (q + 40 * t).alias("noisy"), "l_tax", (d * 100 + q).alias("mixed"), (q + 200 * d).alias("y"))
+
+
+_PAIRS = [(a, b) for i, a in enumerate(LINES) for b in [*LINES, "y"][i + 1 :]]
+
+
+@query(f"WITH RECURSIVE m AS ({MADE}), r AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, least(1, abs(corr({a}, {b}))) AS r FROM m" for a, b in _PAIRS) + f"""),
+pairs AS (SELECT a, b, r FROM r WHERE b <> 'y' UNION ALL SELECT b, a, r FROM r WHERE b <> 'y'), place AS (SELECT unnest({LINES}) AS a, unnest(range({len(LINES)})) AS i),
+ranked AS (SELECT a, row_number() OVER (ORDER BY round(r, 9) DESC, i) AS no FROM r JOIN place USING (a) WHERE b = 'y'),
+links AS (SELECT ranked.no, ranked.a, coalesce(list(pairs.b) FILTER (WHERE r >= 1 - 1e-9), []) AS same, coalesce(list(pairs.b) FILTER (WHERE r >= 0.7 AND r < 1 - 1e-9), []) AS near FROM ranked LEFT JOIN pairs ON pairs.a = ranked.a GROUP BY 1, 2),
+walk AS (SELECT 0::BIGINT AS no, []::VARCHAR[] AS needless, NULL::VARCHAR AS a, []::VARCHAR[] AS members
+UNION ALL SELECT links.no, CASE WHEN list_contains(needless, links.a) THEN needless ELSE list_distinct(list_concat(needless, same)) END, links.a, CASE WHEN list_contains(needless, links.a) THEN [] ELSE list_sort(list_append(list_filter(near, lambda x: NOT list_contains(needless, x)), links.a)) END FROM walk JOIN links ON links.no = walk.no + 1)
+SELECT no AS place, a AS attribute, array_to_string(members, ',') AS members FROM walk WHERE no > 0""", "lineitem")
+def correlation_groups(df):
+    groups = P.correlation_groups(made(df), LINES, "y", threshold=0.7, cutoff=1 - 1e-9)
+    rows = [(i + 1, a, ",".join(sorted(groups.members.get(a, ())))) for i, a in enumerate(groups.order)]
+    return df.sparkSession.createDataFrame(rows, "place long, attribute string, members string")
