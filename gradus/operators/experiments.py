@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import erf, exp, lgamma, log, sqrt
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tails import chi_square_p_value
+
 
 def incomplete_beta(x: float, a: float, b: float) -> float:
     """Regularised incomplete beta function by its continued fraction."""
@@ -36,6 +40,65 @@ def normal_p_value(z: float) -> float:
     return 1 - erf(abs(z) / sqrt(2))
 
 
+def f_p_value(f: float, d1: int, d2: int) -> float:
+    return incomplete_beta(d2 / (d2 + d1 * f), d2 / 2, d1 / 2) if f > 0 else 1.0
+
+
+def signed_rank_p_value(smaller: float, n: int) -> float:
+    """Two-sided exact probability of a sum of signed ranks of ``n`` differences of at most ``smaller`` on either side, all ranks being whole.
+
+    Of the 2**n ways to sign the ranks those of each sum are counted rank by rank.
+    """
+    most = n * (n + 1) // 2
+    ways = [1] + [0] * most
+    for rank in range(1, n + 1):
+        for s in range(most, rank - 1, -1):
+            ways[s] += ways[s - rank]
+    return min(1.0, 2 * sum(ways[: int(smaller) + 1]) / 2**n) if n else 1.0
+
+
+def with_p_value(tests: DataFrame, name: str, p_value: Callable[..., float], *columns: str) -> DataFrame:
+    """``tests`` with a probability from its columns in ``name``; null where one of them is. A row a test, so few rows."""
+
+    @F.pandas_udf("double")
+    def p(*values: pd.Series) -> pd.Series:
+        return pd.Series([None if any(v is None or v != v for v in row) else p_value(*row) for row in zip(*values)], dtype="float64")
+
+    return tests.withColumn(name, p(*[F.col(c).cast("double") for c in columns]))
+
+
+def friedman_tested(results: DataFrame, value: str) -> DataFrame:
+    """``friedman`` with the probability of its statistic, and the F statistic that Iman and Davenport make of it with its own."""
+    out = with_p_value(friedman(results, value).withColumn("_df", F.col("schemes") - 1), "p_value", lambda x, df: chi_square_p_value(x, int(df)), "statistic", "_df")
+    rest = F.col("datasets") * F.col("_df") - F.col("statistic")
+    out = out.withColumn("f_statistic", F.when(rest > 0, (F.col("datasets") - 1) * F.col("statistic") / rest)).withColumn("_d2", F.col("_df") * (F.col("datasets") - 1))
+    return with_p_value(out, "f_p_value", f_p_value, "f_statistic", "_df", "_d2").drop("_df", "_d2")
+
+
+def paired_tested(results: DataFrame, base: str, value: str, significance: float = 0.05, **more) -> DataFrame:
+    """``paired`` with the two-sided probability of t, and ``verdict``: 1 if the scheme is significantly below the base, -1 if above, else 0.
+
+    With no deviation there is no t: the verdict then is the sign of the difference.
+    """
+    out = with_p_value(paired(results, base, value, **more).withColumn("_df", F.col("n") - 1), "p_value", t_p_value, "t", "_df").drop("_df")
+    sure = (F.col("p_value") <= significance) | (F.col("t").isNull() & (F.col("n") > 1))
+    return out.withColumn("verdict", F.when(sure, F.signum("mean_diff")).otherwise(0).cast("int"))
+
+
+def cross_table(tests: DataFrame) -> DataFrame:
+    """(scheme, wins, ties, losses): over data sets, how often a scheme was significantly above, like or below the base of ``paired_tested``."""
+    return tests.groupBy("scheme").agg(F.count_if(F.col("verdict") < 0).alias("wins"), F.count_if(F.col("verdict") == 0).alias("ties"), F.count_if(F.col("verdict") > 0).alias("losses"))
+
+
+def wilcoxon_tested(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """``wilcoxon`` with ``p_value``, exact up to 50 differences (for tied ranks it is that of the next whole sum below) and of z beyond."""
+
+    def p(n, plus, minus, z):
+        return signed_rank_p_value(min(plus, minus), int(n)) if n <= 50 else normal_p_value(z)
+
+    return with_p_value(wilcoxon(pairs, a, b, by), "p_value", p, "n", "w_plus", "w_minus", "z")
+
+
 def averaged(results: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     """Mean and sample standard deviation of ``values`` and the number of rows by ``keys``."""
     return results.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{p}_{c}") for c in values for p, f in (("avg", F.avg), ("sd", F.stddev_samp))])

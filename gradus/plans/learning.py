@@ -10,7 +10,7 @@ from ..operators import merging as G
 from ..operators import runs as U
 from ..operators.selection import greedy_forward
 from .further import draw
-from .queries import query, rounded
+from .queries import RESULTS, query, results, rounded
 
 #: Orders with two labels made from the customer's number: ``mixed`` depends on the status, ``plain`` doesn't.
 LABELS = """SELECT o_orderkey, o_orderstatus, o_orderpriority, 'm' || CASE WHEN o_custkey % 12 < 4 THEN o_custkey % 12 WHEN o_orderstatus = 'F' THEN 4 + o_custkey % 3 WHEN o_orderstatus = 'O' THEN 5 + o_custkey % 4 ELSE 7 + o_custkey % 2 END AS mixed,
@@ -171,3 +171,40 @@ def learning_curve(df):
     d = definition(folds=3, producer="learning_rate", lower=600, step=600, upper=1200)
     d.last = 1
     return U.results(d, lambda _: labelled(df)).select("dataset", "scheme", "run", "fold", "n", "size", "correct", "total")
+
+
+FRIEDMAN = """, m AS (SELECT dataset, scheme, avg(value) v FROM r GROUP BY 1, 2), k AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY v) AS rank FROM m),
+q AS (SELECT sum(s * s) q FROM (SELECT sum(rank) s FROM k GROUP BY scheme)), n AS (SELECT count(DISTINCT dataset) n, count(DISTINCT scheme) k FROM k), x AS (SELECT n, k, 12.0 / (n * k * (k + 1)) * q - 3 * n * (k + 1) AS x FROM n, q),
+f AS (SELECT *, (n - 1) * x / (n * (k - 1) - x) AS f FROM x)"""
+
+
+# three schemes: two degrees of freedom
+@query(RESULTS + FRIEDMAN + " SELECT n AS datasets, k AS schemes, round(x, 6) AS statistic, round(exp(-x / 2), 6) AS p_value, round(f, 6) AS f_statistic, round(pow(1 + f / (n - 1), 1 - n), 6) AS f_p_value FROM f", "orders")
+def friedman_tested(df):
+    return rounded(X.friedman_tested(results(df), "value"))
+
+
+T_TAIL = """1 - CASE WHEN df % 2 = 0 THEN sin(a) * list_sum(list_transform(range(df // 2), lambda j: exp(lgamma(2 * j + 1) - 2 * lgamma(j + 1) - j * ln(4) + 2 * j * ln(cos(a)))))
+WHEN df = 1 THEN 2 * a / pi() ELSE 2 / pi() * (a + sin(a) * list_sum(list_transform(range((df - 1) // 2), lambda j: exp(2 * lgamma(j + 1) - lgamma(2 * j + 2) + j * ln(4) + (2 * j + 1) * ln(cos(a)))))) END"""
+PAIRED = f""", d AS (SELECT a.dataset, b.scheme, count(*) AS n, avg(a.value - b.value) AS m, avg(a.value - b.value) / (stddev_samp(a.value - b.value) * sqrt(1.0 / count(*) + 0.1)) AS t FROM r a JOIN r b USING (dataset, run, fold) WHERE a.scheme = 'F' AND b.scheme <> 'F' GROUP BY 1, 2),
+p AS (SELECT *, {T_TAIL} AS p FROM (SELECT *, atan(abs(t) / sqrt(n - 1)) AS a, n - 1 AS df FROM d)), v AS (SELECT *, CASE WHEN p <= 0.05 THEN sign(m) ELSE 0 END::INT AS verdict FROM p)"""
+
+
+@query(RESULTS + PAIRED + " SELECT dataset, scheme, n, round(t, 5) AS t, round(p, 6) AS p_value, verdict FROM v", "orders")
+def paired_tested(df):
+    return X.paired_tested(results(df), "F", "value", ratio=0.1).select("dataset", "scheme", "n", F.round("t", 5).alias("t"), F.round("p_value", 6).alias("p_value"), "verdict")
+
+
+@query(RESULTS + PAIRED + " SELECT scheme, count(*) FILTER (WHERE verdict < 0) AS wins, count(*) FILTER (WHERE verdict = 0) AS ties, count(*) FILTER (WHERE verdict > 0) AS losses FROM v GROUP BY 1", "orders")
+def cross_table(df):
+    return X.cross_table(X.paired_tested(results(df), "F", "value", ratio=0.1))
+
+
+@query(RESULTS + """, d AS (SELECT a.dataset, a.run, a.value - b.value AS d FROM r a JOIN r b USING (dataset, run, fold) WHERE a.scheme = 'F' AND b.scheme = 'O' AND a.value <> b.value),
+k AS (SELECT *, rank() OVER (PARTITION BY dataset, run ORDER BY abs(d)) AS rank FROM d), w AS (SELECT dataset, run, count(*) AS n, least(sum(CASE WHEN d > 0 THEN rank ELSE 0 END), sum(CASE WHEN d < 0 THEN rank ELSE 0 END)) AS w FROM k GROUP BY 1, 2),
+s AS (SELECT mask, list_sum(list_transform(range(12), lambda i: ((mask >> i) & 1) * (i + 1))) AS s FROM range(4096) t(mask))
+SELECT dataset, run, n, round(least(1, 2 * count(*) / (1 << n)::DOUBLE), 6) AS p_value FROM w JOIN s ON mask < (1 << n) AND s <= w GROUP BY dataset, run, n""", "orders")
+def wilcoxon_tested(df):
+    r = results(df)
+    a, b = (r.where(F.col("scheme") == s).select("dataset", "run", "fold", F.col("value").alias(n)) for s, n in (("F", "a"), ("O", "b")))
+    return rounded(X.wilcoxon_tested(a.join(b, ["dataset", "run", "fold"]), "a", "b", ["dataset", "run"]).select("dataset", "run", "n", "p_value"))

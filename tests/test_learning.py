@@ -207,3 +207,24 @@ def test_experiment_taken_up_again(spark, tmp_path):
     for bad in ({"producer": "x"}, {"schemes": ["none"]}):
         with pytest.raises(ValueError):
             U.Definition(**({"datasets": {}, "schemes": []} | bad))
+
+
+def test_probabilities():
+    from itertools import product
+
+    for n in (1, 4, 7):
+        for w in (0, 2, 5):
+            sums = [sum(i + 1 for i, s in enumerate(signs) if s) for signs in product((0, 1), repeat=n)]
+            assert abs(X.signed_rank_p_value(w, n) - min(1.0, 2 * sum(s <= w for s in sums) / 2**n)) < 1e-12
+    # of one and of two degrees there are closed forms; F of one degree is the square of t
+    assert abs(X.t_p_value(2.0, 1) - (1 - 2 * math.atan(2.0) / math.pi)) < 1e-10
+    assert abs(X.f_p_value(3.0, 2, 8) - (1 + 2 * 3.0 / 8) ** -4) < 1e-10
+    assert abs(X.f_p_value(2.5**2, 1, 9) - X.t_p_value(2.5, 9)) < 1e-10 and X.f_p_value(0.0, 2, 3) == 1.0
+
+
+def test_tests_of_odd_results(spark):
+    rows = [("d", s, 1, f, v) for s, values in (("a", [1.0, 2.0, 3.0]), ("b", [1.0, 2.0, 3.0]), ("c", [0.5, 1.5, 2.5])) for f, v in enumerate(values)] + [("e", "a", 1, 0, 1.0), ("e", "b", 1, 0, 2.0)]
+    df = spark.createDataFrame(rows, "dataset string, scheme string, run int, fold int, value double")
+    found = {(r.dataset, r.scheme): (r.t, r.p_value, r.verdict) for r in X.paired_tested(df, "a", "value").collect()}
+    assert found == {("d", "b"): (None, None, 0), ("d", "c"): (None, None, 1), ("e", "b"): (None, None, 0)}
+    assert {r.scheme: (r.wins, r.ties, r.losses) for r in X.cross_table(X.paired_tested(df, "a", "value")).collect()} == {"b": (0, 2, 0), "c": (0, 0, 1)}
