@@ -85,12 +85,17 @@ def _sd(stats: dict) -> float:
     return float(stats["sd"] or 0) or 1e-6
 
 
-#: Similarity of two values of an attribute with statistics min, max, sd; equality for labels.
+def _of_both(x: Column, y: Column, degree: Column) -> Column:
+    """``degree``, null where a value is: ``least`` and ``greatest`` alone would make a number of it."""
+    return F.when(x.isNotNull() & y.isNotNull(), degree)
+
+
+#: Similarity of two values of an attribute with statistics min, max, sd, null where one of them is; equality for labels.
 SIMILARITIES: dict[str, Callable[[Column, Column, dict], Column]] = {
-    "linear": lambda x, y, s: F.greatest(F.lit(0.0), 1 - F.abs(x - y) / _range(s)),
+    "linear": lambda x, y, s: _of_both(x, y, F.greatest(F.lit(0.0), 1 - F.abs(x - y) / _range(s))),
     "gaussian": lambda x, y, s: F.exp(-((x - y) * (x - y)) / (2 * _sd(s) ** 2)),
-    "tolerance": lambda x, y, s: F.greatest(F.least((y - (x - _sd(s))) / _sd(s), ((x + _sd(s)) - y) / _sd(s)), F.lit(0.0)),
-    "slope": lambda x, y, s: F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.get("beta", 1.0) - s.get("alpha", 0.5) * F.abs(x - y) / _range(s))),
+    "tolerance": lambda x, y, s: _of_both(x, y, F.greatest(F.least((y - (x - _sd(s))) / _sd(s), ((x + _sd(s)) - y) / _sd(s)), F.lit(0.0))),
+    "slope": lambda x, y, s: _of_both(x, y, F.greatest(F.lit(0.0), F.least(F.lit(1.0), s.get("beta", 1.0) - s.get("alpha", 0.5) * F.abs(x - y) / _range(s)))),
     "equal": lambda x, y, s: (x == y).cast("double"),
     "squared": lambda x, y, s: (x - y) * (x - y),
 }

@@ -2,7 +2,8 @@
 
 A row of the pair table holds the similarity of two rows on the attributes (``sim``) and on the class (``dec``: equality
 of labels, or linear similarity of numbers). Rows of equal values and class are one, with a weight. Pairs are quadratic
-in the distinct rows by definition; the smaller measures come from one aggregation by row over them.
+in the distinct rows by definition; the smaller measures come from one aggregation by row over them. Measures that a row's
+similarities by class determine take the table of ``measures.class_similarities`` instead, which meets in blocks.
 """
 
 from __future__ import annotations
@@ -55,13 +56,13 @@ def weak_owa(pairs: DataFrame, implicator: str = "lukasiewicz", alpha: float = 0
     return low.agg((F.sum(F.col("low") * F.col("wx")) / F.sum("wx")).alias("weak_gamma_owa"))
 
 
-def boundary_region(pairs: DataFrame, implicator: str = "lukasiewicz", norm: str = "lukasiewicz") -> DataFrame:
-    """(boundary): 1 less the mean of upper less lower membership, over rows and the classes of a label target.
+def boundary_region(table: DataFrame, implicator: str = "lukasiewicz", norm: str = "lukasiewicz") -> DataFrame:
+    """(boundary): 1 less the mean of upper less lower membership, over rows and classes, of ``measures.class_similarities``.
 
     Of a row's membership in a class, its most similar rows inside and outside say all: I(s, 1) = 1 and T(s, 0) = 0.
     """
-    k = pairs.agg(F.countDistinct("cx")).first()[0] or 1
-    best = pairs.groupBy("x", "wx", F.col("cy").alias("c")).agg(F.max("sim").alias("near"))
+    k = table.agg(F.countDistinct("cx")).first()[0] or 1
+    best = table.select("x", "wx", F.col("cy").alias("c"), "near")
     top = Window.partitionBy("x").orderBy(F.col("near").desc())
     best = best.withColumn("first", F.max("near").over(Window.partitionBy("x"))).withColumn("r", F.row_number().over(top))
     second = F.max(F.when(F.col("r") == 2, F.col("near"))).over(Window.partitionBy("x"))
@@ -71,10 +72,11 @@ def boundary_region(pairs: DataFrame, implicator: str = "lukasiewicz", norm: str
     return best.withColumn("gap", gap).agg((1 - F.sum(F.col("gap") * F.col("wx")) / (F.sum(F.when(F.col("r") == 1, F.col("wx"))) * k)).alias("boundary"))
 
 
-def fuzzy_entropy(pairs: DataFrame) -> DataFrame:
-    """(fuzzy_entropy): 1 less the entropy of the classes around each row, weighed by its cardinality, over log2 of the classes."""
-    k = pairs.agg(F.countDistinct("cx")).first()[0] or 1
-    part = pairs.groupBy("x", "wx", "cy").agg(F.sum(F.col("sim") * F.col("wy")).alias("s"))
+def fuzzy_entropy(table: DataFrame) -> DataFrame:
+    """(fuzzy_entropy): 1 less the entropy of the classes around each row, weighed by its cardinality, over log2 of the classes,
+    of ``measures.class_similarities``."""
+    k = table.agg(F.countDistinct("cx")).first()[0] or 1
+    part = table.select("x", "wx", "cy", F.col("total").alias("s"))
     p = F.col("s") / F.sum("s").over(Window.partitionBy("x"))
     rows = part.withColumn("p", p).groupBy("x", "wx").agg(F.sum("s").alias("card"), F.sum(F.when(F.col("p") > 0, -F.col("p") * F.log2("p")).otherwise(0.0)).alias("h"))
     mean = F.sum(F.col("card") * F.col("h") * F.col("wx")) / F.sum(F.col("card") * F.col("wx"))
@@ -97,11 +99,14 @@ def fuzzy_information(pairs: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("hj") > 0, gain / F.col("hj")).otherwise(0.0).alias("gain_ratio"), gain.alias("mutual_information"), (F.col("us") + F.col("ud") - F.col("uj")).alias("rough_information"))
 
 
-def dependency_merit(df: DataFrame, columns: list[str], target: str, measure: Callable[[DataFrame], DataFrame] = weak_lower) -> Callable[[frozenset], float]:
-    """A merit for the searches of ``selection``: the measure of a subset over that of all columns, 1 at most."""
+def dependency_merit(df: DataFrame, columns: list[str], target: str, measure: Callable[[DataFrame], DataFrame] = weak_lower, pairs: Callable = graded_pairs) -> Callable[[frozenset], float]:
+    """A merit for the searches of ``selection``: the measure of a subset over that of all columns, 1 at most.
+
+    ``pairs`` makes what the measure takes: ``graded_pairs``, or ``measures.class_similarities`` for those by class.
+    """
 
     def value(subset) -> float:
-        return measure(graded_pairs(df, sorted(subset, key=columns.index), target)).first()[0] or 0.0
+        return measure(pairs(df, sorted(subset, key=columns.index), target)).first()[0] or 0.0
 
     whole = value(columns) or 1.0
     return lambda subset: min(1.0, value(subset) / whole) if subset else 0.0

@@ -7,11 +7,14 @@ value, found by windows over the distinct values alone.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.degrees import IMPLICATORS, SIMILARITIES, fold, quantifier
+from ..functions.arrays import similarities
+from ..functions.degrees import IMPLICATORS, SIMILARITIES, quantifier
 from .columns import statistics
+from .meetings import met, packed, same, vectors
 
 
 def collapsed(df: DataFrame, columns: list[str], target: str) -> DataFrame:
@@ -41,19 +44,36 @@ def lower_memberships_1d(df: DataFrame, column: str, target: str, similarity: st
     return x.select(column, target, "_w", IMPLICATORS[implicator](best, F.lit(0.0)).alias("lower"))
 
 
-def pair_similarities(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz", enemies: bool = True) -> DataFrame:
-    """(x, y, sim, wx, wy, same) over distinct rows; pairs of different classes only, unless asked.
+def class_similarities(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz") -> DataFrame:
+    """(x, wx, cx, cy, near, total, some, n): of each distinct row ``x`` and each class the greatest similarity to the class's
+    rows, and the sums of their similarities, of those that have any, and of all by their weights; itself is one of them.
 
-    Quadratic in the distinct rows by definition, so meant for collapsed or small tables.
+    Rows of equal values and class are one of weight ``wx``. Blocks of them meet; a meeting gives back a row for each row and
+    class of a block. A null attribute is similar to all; rows without a class are left out.
     """
     s = statistics(df, columns)
-    # keyed by the values themselves: ids made by rank would need one sort
-    rows = collapsed(df, columns, target).withColumn("_id", F.xxhash64(*columns, target))
-    a = rows.select(F.col("_id").alias("x"), F.col("_w").alias("wx"), F.col(target).alias("cx"), *[F.col(c).alias(f"a_{c}") for c in columns])
-    b = rows.select(F.col("_id").alias("y"), F.col("_w").alias("wy"), F.col(target).alias("cy"), *[F.col(c).alias(f"b_{c}") for c in columns])
-    sim = fold(norm, [F.coalesce(SIMILARITIES[similarity](F.col(f"a_{c}"), F.col(f"b_{c}"), s[c]), F.lit(1.0)) for c in columns])
-    met = a.join(b, F.col("cx") != F.col("cy")) if enemies else a.join(b, F.lit(True))
-    return met.select("x", "y", sim.alias("sim"), "wx", "wy", (F.col("cx") == F.col("cy")).alias("same"))
+    stats = [s[c] for c in columns]
+    key = F.to_json(F.struct(*columns, target), {"ignoreNullFields": "false"})
+    rows = collapsed(df, columns, target).select(key.alias("x"), F.col("_w").alias("wx"), F.col(target).alias("cx"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(columns)])
+    places = [f"_{i}" for i in range(len(columns))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b = vectors(batch, "q_vectors", i, len(stats)), vectors(batch, "vectors", i, len(stats))
+                x, wx, cx, wy, cy = (batch.column(c)[i].values for c in ("q_x", "q_wx", "q_cx", "wx", "cx"))
+                sim, weight = similarities(a, b, similarity, norm, stats), wy.to_numpy().astype(float)
+                for label in cy.unique():
+                    at = np.flatnonzero(same(pa.array([label.as_py()], cy.type), cy)[0])
+                    own, w = sim[:, at], weight[at]
+                    columns_ = [x, wx, cx, pa.array([label.as_py()] * len(x), cy.type), *map(pa.array, (own.max(1), own @ w, (own > 0) @ w, np.full(len(x), w.sum())))]
+                    yield pa.RecordBatch.from_arrays(columns_, names=["x", "wx", "cx", "cy", "near", "total", "some", "n"])
+
+    kind = rows.schema["cx"].dataType.simpleString()
+    found = met(packed(rows, ["x", "wx", "cx"], places, "q_"), packed(rows, ["wx", "cx"], places), run, f"x string, wx long, cx {kind}, cy {kind}, near double, total double, some double, n double")
+    return found.groupBy("x", "wx", "cx", "cy").agg(F.max("near").alias("near"), *[F.sum(c).alias(c) for c in ("total", "some", "n")])
 
 
 def gamma(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz", implicator: str = "lukasiewicz") -> DataFrame:
@@ -61,27 +81,28 @@ def gamma(df: DataFrame, columns: list[str], target: str, similarity: str = "lin
     if len(columns) == 1:
         m = lower_memberships_1d(df, columns[0], target, similarity, implicator).select(F.col("_w").alias("wx"), "lower")
     else:
-        near = pair_similarities(df, columns, target, similarity, norm).groupBy("x", "wx").agg(F.max("sim").alias("best"))
+        near = class_similarities(df, columns, target, similarity, norm).where("cx <> cy").groupBy("x", "wx").agg(F.max("near").alias("best"))
         m = near.select("wx", IMPLICATORS[implicator](F.col("best"), F.lit(0.0)).alias("lower"))
     return m.agg((F.sum(F.col("lower") * F.col("wx")) / F.sum("wx")).alias("gamma"), F.min("lower").alias("delta"))
 
 
 def vqrs(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz", alpha: float = 0.2, beta: float = 1.0) -> DataFrame:
     """(vqrs): mean of the quantified share of a row's similarity that lies in its own class."""
-    pairs = pair_similarities(df, columns, target, similarity, norm, enemies=False)
-    share = pairs.groupBy("x", "wx").agg((F.sum(F.when(F.col("same"), F.col("sim") * F.col("wy")).otherwise(0.0)) / F.sum(F.col("sim") * F.col("wy"))).alias("r"))
+    table = class_similarities(df, columns, target, similarity, norm)
+    share = table.groupBy("x", "wx").agg((F.sum(F.when(F.col("cx") == F.col("cy"), F.col("total")).otherwise(0.0)) / F.sum("total")).alias("r"))
     return share.agg((F.sum(quantifier(F.col("r"), alpha, beta) * F.col("wx")) / F.sum("wx")).alias("vqrs"))
 
 
 def discernibility(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz", implicator: str = "lukasiewicz") -> DataFrame:
     """(discernibility): mean over pairs of rows of the implication of similarity by sameness of class."""
-    total = F.col("wx") * F.col("wy")
     n = df.where(F.col(target).isNotNull()).count()
-    pairs = pair_similarities(df, columns, target, similarity, norm)
-    lost = pairs.agg(F.sum((1 - IMPLICATORS[implicator](F.col("sim"), F.lit(0.0))) * total).alias("s"))
+    enemies = class_similarities(df, columns, target, similarity, norm).where("cx <> cy")
+    # what the implication of 0 lacks of 1: the similarity itself or, for the residual ones, whether there is any
+    lack = F.col("some" if implicator in ("goedel", "gaines") else "total")
+    lost = enemies.agg(F.sum(lack * F.col("wx")).alias("s"))
     return lost.select((1 - F.coalesce(F.col("s"), F.lit(0.0)) / F.lit(float(max(1, n) * max(1, n - 1)))).alias("discernibility"))
 
 
 def granularity(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz") -> DataFrame:
-    pairs = pair_similarities(df, columns, target, similarity, norm, enemies=False)
-    return pairs.agg((F.sum(F.col("sim") * F.col("wx") * F.col("wy")) / F.sum(F.col("wx") * F.col("wy"))).alias("granularity"))
+    table = class_similarities(df, columns, target, similarity, norm)
+    return table.agg((F.sum(F.col("total") * F.col("wx")) / F.sum(F.col("n") * F.col("wx"))).alias("granularity"))

@@ -8,6 +8,7 @@ from ..operators import columns as C
 from ..operators import experiments as X
 from ..operators import graded as G
 from ..operators import instances as I
+from ..operators import measures as M
 from ..operators import ordering as O
 from ..operators import rows as R
 from ..operators import supervised as V
@@ -170,9 +171,13 @@ GRADED = """WITH r AS (SELECT max(s_acctbal) - min(s_acctbal) AS r, max(s_suppke
 p AS (SELECT a.s_suppkey AS x, a.c AS cx, b.c AS cy, greatest(greatest(0, 1 - abs(a.s_acctbal - b.s_acctbal) / r) + greatest(0, 1 - abs(a.s_suppkey - b.s_suppkey) / q) - 1, 0) AS sim, (a.c = b.c)::INT::DOUBLE AS dec FROM rows_ a, rows_ b, r)"""
 
 
-def graded_pairs(df):
+def graded_pairs(df, of=G.graded_pairs):
     rows = df.select("s_suppkey", "s_acctbal", (F.col("s_nationkey") % 4).cast("string").alias("c"))
-    return G.graded_pairs(rows, ["s_acctbal", "s_suppkey"], "c")
+    return of(rows, ["s_acctbal", "s_suppkey"], "c")
+
+
+def by_class(df):
+    return graded_pairs(df, M.class_similarities)
 
 
 @query("""WITH r AS (SELECT max(s_acctbal) - min(s_acctbal) AS r, max(s_suppkey) - min(s_suppkey) AS q FROM supplier),
@@ -194,13 +199,13 @@ def weak_owa(df):
 @query(GRADED + """, c AS (SELECT DISTINCT cx AS c FROM p), m AS (SELECT x, c, max(CASE WHEN cy = c THEN sim ELSE 0 END) AS up, min(CASE WHEN cy = c THEN 1 ELSE least(1, 1 - sim) END) AS low FROM p, c GROUP BY 1, 2)
 SELECT round(1 - avg(up - low), 6) AS boundary FROM m""", "supplier")
 def boundary_region(df):
-    return rounded(G.boundary_region(graded_pairs(df)))
+    return rounded(G.boundary_region(by_class(df)))
 
 
 @query(GRADED + """, s AS (SELECT x, cy, sum(sim) AS s FROM p GROUP BY 1, 2), q AS (SELECT x, s, s / sum(s) OVER (PARTITION BY x) AS p FROM s), h AS (SELECT x, sum(s) AS card, sum(CASE WHEN p > 0 THEN -p * log2(p) ELSE 0 END) AS h FROM q GROUP BY 1)
 SELECT round(1 - sum(card * h) / sum(card) / log2((SELECT count(DISTINCT cx) FROM p)), 6) AS fuzzy_entropy FROM h""", "supplier")
 def fuzzy_entropy(df):
-    return rounded(G.fuzzy_entropy(graded_pairs(df)))
+    return rounded(G.fuzzy_entropy(by_class(df)))
 
 
 @query(GRADED + """, g AS (SELECT x, sum(sim) AS s, sum(dec) AS d, sum(least(sim, dec)) AS j, count(*)::DOUBLE AS n FROM p GROUP BY 1),

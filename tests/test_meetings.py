@@ -65,3 +65,41 @@ def test_relief(spark, monkeypatch):
     found = {r.attribute: r.weight for r in G.relief_scores(df, "k", ["x", "y"], "c", k).collect()}
     assert abs(found["x"] - want[0]) < 1e-9 and abs(found["y"] - want[1]) < 1e-9
     assert len(G.relief_scores(df, "k", ["x", "y"], "c", k, most=10).collect()) == 2
+
+
+@pytest.mark.parametrize("kind", ["linear", "gaussian", "tolerance", "slope", "equal", "squared"])
+def test_arrays_are_the_columns(spark, kind):
+    from pyspark.sql import functions as F
+
+    from gradus.functions import arrays, degrees
+
+    stats = [{"min": 0.0, "max": 2.0, "sd": 0.7}, {"min": 0.0, "max": 1.0, "sd": 0.3}]
+    values = [(0.0, 0.5), (1.0, None), (2.0, 1.0), (0.25, 0.25)]
+    df = spark.createDataFrame([(i, j, *a, *b) for i, a in enumerate(values) for j, b in enumerate(values)], "i int, j int, a double, b double, c double, d double")
+    x = np.array([[np.nan if v is None else v for v in r] for r in values])
+    for norm in arrays.T_NORMS:
+        sim = degrees.fold(norm, [degrees.known(degrees.SIMILARITIES[kind](F.col(p), F.col(q), s)) for p, q, s in (("a", "c", stats[0]), ("b", "d", stats[1]))])
+        want = {(r.i, r.j): r.s for r in df.select("i", "j", sim.alias("s")).collect()}
+        found = arrays.similarities(x, x, kind, norm, stats)
+        assert all(abs(found[i, j] - s) < 1e-12 for (i, j), s in want.items())
+
+
+def test_class_similarities(spark, monkeypatch):
+    from gradus.operators import measures
+
+    monkeypatch.setattr(M, "BLOCK", 6)
+    rows = table(40)
+    rows += [rows[0], rows[1]]
+    known, spread = [r for r in rows if r[3] is not None], spreads(rows)
+    sim = lambda a, b: max(0.0, 1 - sum(min(1.0, abs(a[i] - b[i]) / spread[i - 1]) for i in (1, 2) if a[i] is not None and b[i] is not None))
+    df = spark.createDataFrame(rows, ROWS).repartition(3)
+    enemy = [[sim(a, b) for b in known if b[3] != a[3]] for a in known]
+    g = measures.gamma(df, ["x", "y"], "c").first()
+    lower = [1 - max(e) for e in enemy]
+    assert abs(g.gamma - sum(lower) / len(lower)) < 1e-9 and abs(g.delta - min(lower)) < 1e-9
+    whole = [[sim(a, b) for b in known] for a in known]
+    assert abs(measures.granularity(df, ["x", "y"], "c").first()[0] - np.mean(whole)) < 1e-9
+    n = len(known)
+    assert abs(measures.discernibility(df, ["x", "y"], "c").first()[0] - (1 - sum(map(sum, enemy)) / n / (n - 1))) < 1e-9
+    assert abs(measures.discernibility(df, ["x", "y"], "c", implicator="goedel").first()[0] - (1 - sum(v > 0 for e in enemy for v in e) / n / (n - 1))) < 1e-9
+    assert measures.class_similarities(df.limit(0), ["x", "y"], "c").count() == 0
