@@ -323,18 +323,18 @@ def smote(df):
     return V.smote(few, "s_suppkey", ["s_acctbal"], "kind", "few", 200).groupBy("kind").count()
 
 
-CONNECTIVES = """WITH d AS (SELECT a, b FROM (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS a), (SELECT unnest([0.0, 0.25, 0.5, 0.75, 1.0])::DOUBLE AS b))
-SELECT a, b, a * b AS t_algebraic, least(a, b) AS t_min, greatest(a + b - 1, 0) AS t_lukasiewicz, a + b - a * b AS s_algebraic, greatest(a, b) AS s_max, least(1, a + b) AS s_lukasiewicz,
-(a + b) / (1 + a * b) AS s_einstein, CASE WHEN a = 0 THEN b WHEN b = 0 THEN a ELSE 1 END AS s_drastic, a + b AS s_sum, least(1, 1 - a + b) AS i_lukasiewicz, greatest(1 - a, b) AS i_kleene_dienes,
-1 - a + a * b AS i_reichenbach, CASE WHEN a <= b THEN 1 ELSE b END AS i_goedel, CASE WHEN a <= b THEN 1 ELSE b / a END AS i_gaines FROM d"""
+CONNECTIVES = {
+    "t_algebraic": "a * b", "t_min": "least(a, b)", "t_lukasiewicz": "greatest(a + b - 1, 0)", "s_algebraic": "a + b - a * b", "s_max": "greatest(a, b)", "s_lukasiewicz": "least(1, a + b)", "s_einstein": "(a + b) / (1 + a * b)",
+    "s_drastic": "CASE WHEN a = 0 THEN b WHEN b = 0 THEN a ELSE 1 END", "s_sum": "a + b", "i_lukasiewicz": "least(1, 1 - a + b)", "i_kleene_dienes": "greatest(1 - a, b)", "i_reichenbach": "1 - a + a * b",
+    "i_goedel": "CASE WHEN a <= b THEN 1 ELSE b END", "i_gaines": "CASE WHEN a <= b THEN 1 ELSE b / a END",
+}
 
 
-@query(CONNECTIVES)
-def connectives(spark, sf_dir):
-    grid = spark.range(25).select((F.col("id") % 5 * 0.25).alias("a"), (F.floor(F.col("id") / 5) * 0.25).alias("b"))
-    a, b = F.col("a"), F.col("b")
+@query(f"SELECT {LINE}, a, b, " + ", ".join(f"round({f}, 6)::DOUBLE AS {name}" for name, f in CONNECTIVES.items()) + f" FROM (SELECT {LINE}, round(l_discount * 10, 4) AS a, round(l_tax * 12.5, 4) AS b FROM lineitem)", "lineitem")
+def connectives(df):
+    rows = df.select(*KEYS, F.round(F.col("l_discount") * 10, 4).alias("a"), F.round(F.col("l_tax") * 12.5, 4).alias("b"))
     groups = (("t", degrees.T_NORMS), ("s", degrees.S_NORMS), ("i", degrees.IMPLICATORS))
-    return grid.select("a", "b", *[f(a, b).cast("double").alias(f"{p}_{n}") for p, g in groups for n, f in g.items()])
+    return rounded(rows.select(*KEYS, "a", "b", *[f(F.col("a"), F.col("b")).cast("double").alias(f"{p}_{n}") for p, g in groups for n, f in g.items()]))
 
 
 PAIRS = """WITH s AS (SELECT max(s_acctbal) - min(s_acctbal) AS r, max(s_suppkey) - min(s_suppkey) AS q FROM supplier),
