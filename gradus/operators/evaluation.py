@@ -132,14 +132,29 @@ def naive_bayes(rows: DataFrame, key: str, columns: list[str], target: str) -> D
 
 
 def prepared(scheme: Scheme, rows: DataFrame, key: str, columns: list[str], target: str) -> Callable[[list[str]], DataFrame]:
-    """The scheme's (key, predicted) by subset of ``columns``. Bayes' votes of all columns are kept, so a subset is a sum over them."""
+    """The scheme's (key, predicted) by subset of ``columns``. Bayes' votes of all columns are kept, so a subset is a sum over
+    them; what it then has, ``release`` lets go."""
     if scheme is not naive_bayes:
         return lambda subset: scheme(rows, key, subset, target)
     classes = _classes(rows, target)
     if not classes:
         return lambda subset: naive_bayes(rows, key, subset, target)
     votes = bayes_votes(rows, key, columns, target, classes).persist()
-    return lambda subset: _decided(votes, key, [columns.index(c) for c in subset], classes)
+
+    def by_subset(subset: list[str]) -> DataFrame:
+        return _decided(votes, key, [columns.index(c) for c in subset], classes)
+
+    by_subset.release = votes.unpersist
+    return by_subset
+
+
+def _release(*parts: Callable) -> Callable[[], None]:
+    def release() -> None:
+        for part in parts:
+            if hasattr(part, "release"):
+                part.release()
+
+    return release
 
 
 def ml_scheme(estimator: Callable[[], object], numeric_target: bool = False, parallel: int = 4) -> Scheme:
@@ -231,7 +246,8 @@ def wrapper_merit(df: DataFrame, key: str, columns: list[str], target: str, sche
 
     Cross-validations, each with other folds, go on until their standard deviation is at most ``threshold`` times their
     mean, at least two and at most ``most``; a threshold below 0 takes one. For errors (``accuracy``'s is the error rate)
-    it is the error's deviation that counts. The function remembers what it has found.
+    it is the error's deviation that counts. The function remembers what it has found; its ``release`` lets go of
+    what the scheme keeps between subsets.
     """
     known: dict[frozenset, float] = {}
     ready: list[tuple] = []
@@ -256,6 +272,7 @@ def wrapper_merit(df: DataFrame, key: str, columns: list[str], target: str, sche
             known[subset] = sum(values) / len(values)
         return known[subset]
 
+    merit.release = lambda: _release(*[by_subset for _, by_subset in ready])()
     return merit
 
 
@@ -272,7 +289,9 @@ def classifier_merit(df: DataFrame, key: str, columns: list[str], target: str, s
         found = _beside(rows, key, target, by_subset([c for c in columns if c in subset]))
         return merit_of(found if percent is None and holdout is None else found.where("_fold = 1"), measure)
 
-    return memoised(merit)
+    out = memoised(merit)
+    out.release = _release(by_subset)
+    return out
 
 
 def attribute_merits(columns: list[str], merit: Callable[[frozenset], float], leave_out: bool = False) -> dict[str, float]:

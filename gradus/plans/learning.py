@@ -127,6 +127,7 @@ SELECT attribute, round(alone, 6) AS alone, round(left_out, 6) AS left_out FROM
 def classifier_attribute_merits(df):
     found = merit(df)
     alone, left = E.attribute_merits(ATTRIBUTES, found), E.attribute_merits(ATTRIBUTES, found, leave_out=True)
+    found.release()
     return rounded(df.sparkSession.createDataFrame([(a, alone[a], left[a]) for a in ATTRIBUTES], "attribute string, alone double, left_out double"))
 
 
@@ -138,6 +139,7 @@ def wrapper_selection(df):
     found = merit(df)
     chosen = greedy_forward(ATTRIBUTES, found)
     rows = [(i + 1, c, found(frozenset(chosen[: i + 1]))) for i, c in enumerate(chosen)]
+    found.release()
     return rounded(df.sparkSession.createDataFrame(rows, "place int, attribute string, merit double"))
 
 

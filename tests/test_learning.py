@@ -154,6 +154,8 @@ def test_wrapper_drives_a_search(spark):
         assert abs(merit(frozenset(subset)) - plain(subset)) < 1e-12
     left = E.attribute_merits(["u", "v"], merit, leave_out=True)
     assert abs(left["u"] - (plain("uv") - plain("v"))) < 1e-12
+    merit.release()
+    assert merit(frozenset("u")) == merit(frozenset(["u"]))
 
 
 def test_classifier_merit_and_ml(spark):
