@@ -1,9 +1,9 @@
 """Discernibility clauses as a table, the measure over them, and a greedy reduct.
 
 A clause says of a pair of rows of different classes how well each column tells them apart: 1 less the column's similarity.
-Equal clauses are one, with the number of their pairs. They are gathered by meetings of blocks of rows, which collapse what
-they find before it leaves the task, so a table of clauses is as large as the rows are varied, not as their pairs are many;
-columns of few values (labels, cut numbers) give few. A subset of columns satisfies a clause as far as the S-norm of its
+Equal clauses are one, with the number of their pairs. They are gathered by meetings of blocks of distinct rows, which collapse
+what they find before it leaves the task, so work and table are as large as the rows are varied, not as they or their pairs
+are many; columns of few values (labels, cut numbers) give few. A subset of columns satisfies a clause as far as the S-norm of its
 degrees.
 """
 
@@ -13,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .meetings import met, packed, same, vectors
 from .oversampling import _DIGITS, _met, _points, _sides, _spread
 
 #: Rows of a block that are compared with the other block at once.
@@ -22,34 +23,37 @@ STRIP = 64
 def clauses(df: DataFrame, numeric: list[str], target: str, nominal: list[str] | None = None) -> DataFrame:
     """(degrees, pairs): distinct clauses of ``df`` over ``numeric`` and then ``nominal`` columns, to nine digits.
 
-    A null is similar to all, so it tells nothing apart. Rows without a class have no clauses.
+    Rows of equal values and class are one of a weight before they meet. A null is similar to all, so it tells nothing
+    apart. Rows without a class have no clauses.
     """
     nominal = nominal or []
     numbers, width = len(numeric), len(numeric) + len(nominal)
-    rows = _points(df, F.lit(""), numeric, nominal, target, _spread(df, numeric))
+    places = [f"_{i}" for i in range(width)]
+    rows = _points(df, F.lit(""), numeric, nominal, target, _spread(df, numeric)).groupBy("class", "v").agg(F.count(F.lit(1)).alias("w"))
+    rows = rows.select("class", "w", *[F.col("v")[i].alias(p) for i, p in enumerate(places)])
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
         for batch in batches:
             for i in range(batch.num_rows):
-                x, y, _, _, a, b = _sides(batch, i, width)
-                known = pc.unique(pa.concat_arrays([a, b]))
-                cx, cy = (pc.index_in(c, known).to_numpy() for c in (a, b))
+                x, y = vectors(batch, "q_vectors", i, width), vectors(batch, "vectors", i, width)
+                a, b, wx, wy = (batch.column(c)[i].values for c in ("q_class", "class", "q_w", "w"))
+                apart, wx, wy = ~same(a, b), wx.to_numpy(), wy.to_numpy()
                 parts, counts = [], []
                 for at in range(0, len(x), STRIP):
-                    enemy = cx[at : at + STRIP, None] != cy[None, :]
+                    enemy = apart[at : at + STRIP]
                     degrees = np.stack([(np.nan_to_num(np.minimum(1, np.abs(u - v))) if c < numbers else ((u != v) & ~np.isnan(u) & ~np.isnan(v)).astype(float))[enemy] for c in range(width) for u, v in [(x[at : at + STRIP, c, None], y[None, :, c])]], axis=1)
-                    found, n = np.unique(np.round(degrees, _DIGITS) + 0.0, axis=0, return_counts=True)
+                    found, inverse = np.unique(np.round(degrees, _DIGITS) + 0.0, axis=0, return_inverse=True)
                     parts.append(found)
-                    counts.append(n)
+                    counts.append(np.bincount(inverse.ravel(), (wx[at : at + STRIP, None] * wy[None, :])[enemy], len(found)))
                 found, inverse = np.unique(np.concatenate(parts), axis=0, return_inverse=True)
                 n = np.bincount(inverse.ravel(), np.concatenate(counts), len(found)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1) * width, pa.int32()), pa.array(found.ravel())), pa.array(n)], names=["degrees", "n"])
 
+    found = met(packed(rows, ["w", "class"], places, "q_"), packed(rows, ["w", "class"], places), run, "degrees array<double>, n long")
     # each pair meets twice
-    return _met(rows, rows, run, "degrees array<double>, n long").groupBy("degrees").agg(F.expr("sum(n) div 2").alias("pairs"))
+    return found.groupBy("degrees").agg(F.expr("sum(n) div 2").alias("pairs"))
 
 
 def satisfied(places: list[int], norm: str = "lukasiewicz") -> Column:

@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from gradus.operators import clauses as L
 from gradus.operators import oversampling as B
@@ -56,3 +57,17 @@ def test_no_clauses(spark):
     found = L.clauses(df, ["x"], "c", ["s"])
     assert found.count() == 0 and L.clause_merits(found, [[0]]) == [1.0] and L.greedy_reduct(found, 2) == []
     assert L.least_clauses(found).count() == 0
+
+
+def test_copies_meet_once(spark):
+    """Clauses of 200,000 rows of ten kinds: copies are a weight, not rows that meet."""
+    i = F.col("id")
+    df = spark.range(200_000).select((i % 5).cast("double").alias("x"), (i % 2).cast("string").alias("c"))
+    found = {tuple(r.degrees): r.pairs for r in L.clauses(df, ["x"], "c").collect()}
+    # each of the ten kinds has 20,000 rows
+    want = Counter()
+    for a in range(5):
+        for b in range(5):
+            want[(abs(a - b) / 4,)] += 20_000**2
+    assert found == want
+    assert L.greedy_reduct(L.least_clauses(L.clauses(df, ["x"], "c")), 1) == [0]
