@@ -1,8 +1,8 @@
 """Filters of rows by graded memberships: lower approximations, undersampling, imputation, misclassified rows, clusters.
 
 The lower approximation of a row (linear similarity, Lukasiewicz norm, crisp class) is 1 less its similarity to the
-nearest row of another class. The search is exact: blocks of distinct rows meet in tasks dealt out by salt, and a
-meeting gives back one number for each row, never the pairs.
+nearest row of another class. The search is exact: blocks of distinct rows meet the blocks that can hold a nearest row, and
+what comes of it is one number for each row, never the pairs.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .columns import statistics
+from .meetings import closest, placed
 from .neighbours import fuzzy_nn, nearest, winners
 from .ordering import numbered
 
@@ -19,39 +20,16 @@ from .ordering import numbered
 BLOCK = 1024
 
 
-def _blocks(batches):
-    import pyarrow as pa
+def _nearness(scale: list[float]):
+    """The negative of the distance of rows by their vectors, and the nearest that differences by column allow."""
 
-    for batch in batches:
-        for a in range(0, batch.num_rows, BLOCK):
-            part = batch.slice(a, BLOCK)
-            values = np.asarray(part.column("_v").flatten(), np.float64)
-            labels = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("_label"))
-            yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), labels], names=["vectors", "labels"])
+    def exact(x, y):
+        far = np.zeros((len(x), len(y)))
+        for c, width in enumerate(scale):
+            far += np.nan_to_num(np.abs(x[:, c, None] - y[None, :, c])) / width
+        return -far
 
-
-def _near_enemies(scale: list[float]):
-    """For each row of a block its greatest similarity to a row of another class of the other block, null without any."""
-
-    def run(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_py()).reshape(-1, len(scale)) for c in ("vectors", "others"))
-                labels, others = batch.column("labels")[i].values, batch.column("other_labels")[i].values
-                known = pc.unique(labels)
-                cx, cy = (pc.fill_null(pc.index_in(c, known), -1).to_numpy() for c in (labels, others))
-                far = np.zeros((len(x), len(y)))
-                for c, width in enumerate(scale):
-                    far += np.nan_to_num(np.abs(x[:, c, None] - y[None, :, c])) / width
-                far[cx[:, None] == cy[None, :]] = np.inf
-                best = 1 - far.min(axis=1)
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * len(scale), pa.int32()), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([vectors, labels, pa.array(best, mask=~np.isfinite(best))], names=["_v", "_label", "near"])
-
-    return run
+    return exact, lambda least, most: -(least / np.array(scale)).sum(1)
 
 
 def _vector(columns: list[str]) -> Column:
@@ -66,15 +44,16 @@ def with_lower(df: DataFrame, columns: list[str], target: str) -> DataFrame:
     """
     stats = statistics(df, columns)
     scale = [float((stats[c]["max"] or 0) - (stats[c]["min"] or 0)) or 1.0 for c in columns]
+    places = [f"_{i}" for i in range(len(columns))]
     named = df.select(*[c for c in df.columns if c != "lower"]).withColumns({"_v": _vector(columns), "_label": F.col(target).cast("string")})
     rows = named.where(F.col("_label").isNotNull()).select("_v", "_label").distinct()
-    blocks = rows.mapInArrow(_blocks, "vectors binary, labels array<string>")
-    salts = max(8, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    others = blocks.select(F.col("vectors").alias("others"), F.col("labels").alias("other_labels"), F.pmod(F.xxhash64("vectors"), F.lit(salts)).cast("int").alias("salt"))
-    met = others.join(blocks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), "salt").drop("salt")
-    near = met.mapInArrow(_near_enemies(scale), "_v array<double>, _label string, near double").groupBy("_v", "_label").agg(F.max("near").alias("near"))
+    rows = rows.select(F.col("_v").alias("there"), F.col("_label").alias("kind"), *[F.when(~F.isnan(F.col("_v")[i]), F.col("_v")[i]).alias(p) for i, p in enumerate(places)])
+    blocks = placed(rows, ["there", "kind"], places, min(BLOCK, 512), "kind")
+    near = closest(blocks, blocks.withColumnRenamed("kind", "c"), ["there", "kind"], [], *_nearness(scale), relation="enemy", by=("kind", "c"))
+    near = near.select(F.col("there").alias("_v"), F.col("kind").alias("_label"), (1 + F.col("_close")).alias("near"))
     low = near.select("_v", "_label", (1 - F.greatest(F.lit(0.0), F.coalesce("near", F.lit(0.0)))).alias("lower"))
-    return named.join(low, ["_v", "_label"], "left").drop("_v", "_label")
+    # a class without enemies anywhere
+    return named.join(low, ["_v", "_label"], "left").withColumn("lower", F.when(F.col("_label").isNotNull(), F.coalesce("lower", F.lit(1.0)))).drop("_v", "_label")
 
 
 def undersample_safest(df: DataFrame, key: str, columns: list[str], target: str, majority, ratio: float = 1.0) -> DataFrame:

@@ -1,7 +1,7 @@
 """Nearest-neighbour classifiers: scores of query rows against a training table.
 
-Queries meet all training rows in blocks; only the k most similar of each are kept, and every class score is an aggregation
-over them.
+Queries meet the training rows near them in blocks; only the k most similar of each are kept, and every class score is an
+aggregation over them.
 """
 
 from __future__ import annotations
@@ -12,43 +12,31 @@ from pyspark.sql import functions as F
 
 from ..functions.degrees import IMPLICATORS, T_NORMS, quantifier
 from .columns import statistics
-from .meetings import met, order_of, packed, same, vectors
+from .meetings import closest, placed
 
+#: Rows in a block.
+BLOCK = 512
 
-def _best(k: int, key: str, target: str, spread: list[float]):
-    """Of each row that asks the ``k`` most similar rows of a block, its own key left out; ties to smaller keys."""
 
-    def run(batches):
-        import pyarrow as pa
+def _similarity(spread: list[float]):
+    """The mean similarity of rows by their vectors, and the greatest that differences by column allow."""
 
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = vectors(batch, "q_vectors", i, len(spread)), vectors(batch, "vectors", i, len(spread))
-                asked, keys, targets = (batch.column(c)[i].values for c in ("q_query", key, target))
-                order = order_of(keys)
-                keys, targets, y = keys.take(pa.array(order)), targets.take(pa.array(order)), y[order]
-                total = np.zeros((len(x), len(y)))
-                for c, width in enumerate(spread):
-                    part = np.maximum(0.0, 1 - np.abs(y[None, :, c] - x[:, c, None]) / width)
-                    total += np.where(np.isnan(part), 1.0, part)
-                sim = total / len(spread)
-                sim[same(asked, keys)] = -1
-                best = np.argsort(-sim, axis=1, kind="stable")[:, :k]
-                r = np.repeat(np.arange(len(x)), best.shape[1])
-                c = best.ravel()
-                kept = sim[r, c] >= 0
-                r, c = r[kept], c[kept]
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(r)), keys.take(pa.array(c)), targets.take(pa.array(c)), pa.array(sim[r, c])], names=["query", key, target, "sim"])
+    def exact(x, y):
+        total = np.zeros((len(x), len(y)))
+        for c, width in enumerate(spread):
+            part = np.maximum(0.0, 1 - np.abs(y[None, :, c] - x[:, c, None]) / width)
+            total += np.where(np.isnan(part), 1.0, part)
+        return total / len(spread)
 
-    return run
+    return exact, lambda least, most: np.maximum(0.0, 1 - least / np.array(spread)).mean(1)
 
 
 def nearest(train: DataFrame, queries: DataFrame, key: str, columns: list[str], target: str, k: int = 10) -> DataFrame:
     """(query, key, target, sim, r): the k most similar training rows, the query's own id left out; ties to smaller ids.
 
     Similarity is the mean over attributes of 1 - |difference| / range; a null attribute counts as similar. Rows with a null
-    key, and training rows with a null target, take no part. Every block of queries meets every block of training rows, and
-    a meeting gives back k rows for each query.
+    key, and training rows with a null target, take no part. A block of queries meets the blocks of training rows that can
+    hold one of its rows' nearest.
     """
     if k < 1:
         raise ValueError("k has to be at least 1")
@@ -56,9 +44,8 @@ def nearest(train: DataFrame, queries: DataFrame, key: str, columns: list[str],
     spread = [float((s[c]["max"] or 0) - (s[c]["min"] or 0)) or 1.0 for c in columns]
     # a target may be a key or an attribute too
     named = train.where(F.col(target).isNotNull() & F.col(key).isNotNull())
-    kinds = {c: train.schema[c].dataType.simpleString() for c in (key, target)}
-    asked = packed(queries.where(F.col(key).isNotNull()).withColumn("query", F.col(key)), ["query"], columns, "q_")
-    found = met(asked, packed(named, [key, target], columns), _best(k, key, target, spread), f"query {queries.schema[key].dataType.simpleString()}, `{key}` {kinds[key]}, `{target}` {kinds[target]}, sim double")
+    asked = placed(queries.where(F.col(key).isNotNull()).withColumn("query", F.col(key)), ["query"], columns, BLOCK)
+    found = closest(asked, placed(named, [key, target], columns, BLOCK), ["query"], [key, target], *_similarity(spread), k=k, key=("query", key)).withColumnRenamed("_close", "sim")
     order = Window.partitionBy("query").orderBy(F.col("sim").desc(), key)
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
 
