@@ -266,12 +266,24 @@ def reorder(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*out)
 
 
+#: Cuts of a step: labels of more cuts are found in steps of them, so that conditions nest this deep at most.
+STEP = 32
+
+
 def cut_label(x: Column, cuts: list[float]) -> Column:
     """Bin number from 0; a value equal to a cut belongs below it."""
-    out = F.lit(len(cuts))
-    for i in reversed(range(len(cuts))):
-        out = F.when(x <= cuts[i], F.lit(i)).otherwise(out)
-    return F.when(x.isNotNull(), out)
+
+    def among(first: int, last: int) -> Column:
+        # the bin of a value above cut first - 1 and, but for the last bin, not above cut ``last``
+        if last - first <= STEP:
+            out = F.lit(last)
+            for i in reversed(range(first, last)):
+                out = F.when(x <= cuts[i], F.lit(i)).otherwise(out)
+            return out
+        middle = (first + last) // 2
+        return F.when(x <= cuts[middle], among(first, middle)).otherwise(among(middle + 1, last))
+
+    return F.when(x.isNotNull(), among(0, len(cuts)))
 
 
 def fit_equal_width(df: DataFrame, columns: list[str], bins: int = 10) -> Fitted:

@@ -160,3 +160,12 @@ def test_principal_components_against_numpy(spark):
     out = np.array([[r[c] for c in r.__fields__ if c.startswith("PC")] for r in apply(df).orderBy("id").collect()])
     assert out.var(0, ddof=1) == pytest.approx(values[: out.shape[1]]) and np.cumsum(values)[out.shape[1] - 1] >= 0.9 * 3 - 1e-9
     assert np.linalg.matrix_rank(np.hstack([z, out]), 1e-6) == 3
+
+
+def test_labels_of_many_cuts(spark):
+    """Conditions of 3,000 cuts nest in steps, and a value equal to a cut belongs below it."""
+    cuts = [float(i) for i in range(3000)]
+    rows = spark.range(0, 6003).select((F.col("id") / 2 - 1).alias("x"))
+    found = {r.x: r.b for r in rows.select("x", C.cut_label(F.col("x"), cuts).alias("b")).collect()}
+    assert found == {x: int(np.searchsorted(cuts, x)) for x in found}
+    assert spark.sql("select cast(null as double) x").select(C.cut_label(F.col("x"), cuts)).first()[0] is None
