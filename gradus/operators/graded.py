@@ -14,10 +14,14 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.degrees import IMPLICATORS, SIMILARITIES, T_NORMS, fold, quantifier
+from ..functions.degrees import IMPLICATORS, SIMILARITIES, T_NORMS, _range, fold, quantifier
 from .columns import statistics
-from .measures import collapsed
-from .meetings import met, order_of, packed, same, vectors
+from .measures import collapsed, enemies
+from .meetings import closest, placed
+from .staging import cut
+
+#: Rows in a block.
+BLOCK = 512
 
 
 def graded_pairs(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz") -> DataFrame:
@@ -42,6 +46,35 @@ def weak_lower(pairs: DataFrame, implicator: str = "lukasiewicz") -> DataFrame:
     return low.agg((F.sum(F.col("low") * F.col("wx")) / F.sum("wx")).alias("weak_gamma"), F.min("low").alias("weak_delta"))
 
 
+def weak_lower_of(df: DataFrame, columns: list[str], target: str) -> DataFrame:
+    """``weak_lower`` (linear similarity, Lukasiewicz) without the pairs.
+
+    A class of labels asks for the nearest row of another class alone. For a number the least implication lies at a row near
+    in the columns and far in the target, which is found by bounds of blocks.
+    """
+    if dict(df.dtypes)[target] not in ("double", "float"):
+        low = enemies(df, columns, target).select("wx", IMPLICATORS["lukasiewicz"](F.coalesce("near", F.lit(0.0)), F.lit(0.0)).alias("low"))
+        return low.agg((F.sum(F.col("low") * F.col("wx")) / F.sum("wx")).alias("weak_gamma"), F.min("low").alias("weak_delta"))
+    s = statistics(df, [*columns, target])
+    spread = np.array([_range(s[c]) for c in [*columns, target]])
+    last, places = len(columns), [f"_{i}" for i in range(len(columns) + 1)]
+
+    def low(gaps):
+        part = np.maximum(0.0, 1 - gaps / spread)
+        sim = part[..., 0]
+        for c in range(1, last):
+            sim = np.maximum(sim + part[..., c] - 1, 0.0)
+        return np.minimum(1.0, 1 - sim + part[..., last])
+
+    rows = collapsed(df, columns, target)
+    rows = rows.select(F.col("_w").alias("wx"), *[F.col(c).cast("double").alias(p) for c, p in zip([*columns, target], places)])
+    blocks = placed(rows, ["wx"], places, BLOCK)
+    exact = lambda x, y: -low(np.nan_to_num(np.abs(x[:, None, :] - y[None, :, :])))
+    bound = lambda least, most: -low(np.concatenate([least[..., :last], most[..., last:]], -1))
+    found = closest(blocks, blocks.drop("wx"), ["wx"], [], exact, bound).withColumn("low", -F.col("_close"))
+    return found.agg((F.sum(F.col("low") * F.col("wx")) / F.sum("wx")).alias("weak_gamma"), F.min("low").alias("weak_delta"))
+
+
 def weak_owa(pairs: DataFrame, implicator: str = "lukasiewicz", alpha: float = 0.2, beta: float = 1.0) -> DataFrame:
     """(weak_gamma_owa): the same with an ordered weighted average of the implications for the minimum.
 
@@ -57,10 +90,12 @@ def weak_owa(pairs: DataFrame, implicator: str = "lukasiewicz", alpha: float = 0
 
 
 def boundary_region(table: DataFrame, implicator: str = "lukasiewicz", norm: str = "lukasiewicz") -> DataFrame:
-    """(boundary): 1 less the mean of upper less lower membership, over rows and classes, of ``measures.class_similarities``.
+    """(boundary): 1 less the mean of upper less lower membership, over rows and classes, of ``measures.class_nearest``
+    (or ``class_similarities``).
 
     Of a row's membership in a class, its most similar rows inside and outside say all: I(s, 1) = 1 and T(s, 0) = 0.
     """
+    table = cut(table)
     k = table.agg(F.countDistinct("cx")).first()[0] or 1
     best = table.select("x", "wx", F.col("cy").alias("c"), "near")
     top = Window.partitionBy("x").orderBy(F.col("near").desc())
@@ -75,6 +110,7 @@ def boundary_region(table: DataFrame, implicator: str = "lukasiewicz", norm: str
 def fuzzy_entropy(table: DataFrame) -> DataFrame:
     """(fuzzy_entropy): 1 less the entropy of the classes around each row, weighed by its cardinality, over log2 of the classes,
     of ``measures.class_similarities``."""
+    table = cut(table)
     k = table.agg(F.countDistinct("cx")).first()[0] or 1
     part = table.select("x", "wx", "cy", F.col("total").alias("s"))
     p = F.col("s") / F.sum("s").over(Window.partitionBy("x"))
@@ -91,6 +127,10 @@ def fuzzy_information(pairs: DataFrame) -> DataFrame:
     both = F.least("sim", "dec")
     w = F.col("wy")
     rows = pairs.groupBy("x", "wx").agg(F.sum(F.col("sim") * w).alias("s"), F.sum(F.col("dec") * w).alias("d"), F.sum(both * w).alias("j"), F.sum(w).alias("n"))
+    return _information(rows)
+
+
+def _information(rows: DataFrame) -> DataFrame:
     mean = lambda c: F.sum(c * F.col("wx")) / F.sum("wx")
     bits = lambda c: mean(-F.log2(F.col(c) / F.col("n")))
     unlike = lambda c: mean((F.col("n") - F.col(c)) / (F.col("n") - 1))
@@ -99,57 +139,47 @@ def fuzzy_information(pairs: DataFrame) -> DataFrame:
     return out.select(F.when(F.col("hj") > 0, gain / F.col("hj")).otherwise(0.0).alias("gain_ratio"), gain.alias("mutual_information"), (F.col("us") + F.col("ud") - F.col("uj")).alias("rough_information"))
 
 
-def dependency_merit(df: DataFrame, columns: list[str], target: str, measure: Callable[[DataFrame], DataFrame] = weak_lower, pairs: Callable = graded_pairs) -> Callable[[frozenset], float]:
+def fuzzy_information_by_class(table: DataFrame) -> DataFrame:
+    """``fuzzy_information`` of a class of labels, of ``measures.class_similarities``: a row is like its own class alone."""
+    own = F.col("cx") == F.col("cy")
+    rows = table.groupBy("x", "wx").agg(F.sum("total").alias("s"), F.sum(F.when(own, F.col("n"))).alias("d"), F.sum(F.when(own, F.col("total"))).alias("j"), F.sum("n").alias("n"))
+    return _information(rows)
+
+
+def dependency_merit(df: DataFrame, columns: list[str], target: str, measure: Callable[[DataFrame], DataFrame] | None = None, pairs: Callable = graded_pairs) -> Callable[[frozenset], float]:
     """A merit for the searches of ``selection``: the measure of a subset over that of all columns, 1 at most.
 
-    ``pairs`` makes what the measure takes: ``graded_pairs``, or ``measures.class_similarities`` for those by class.
+    ``pairs`` makes what the measure takes: ``graded_pairs``, or ``measures.class_similarities`` for those by class. Without a
+    measure it is that of ``weak_lower_of``, which makes no pairs.
     """
 
     def value(subset) -> float:
-        return measure(pairs(df, sorted(subset, key=columns.index), target)).first()[0] or 0.0
+        some = sorted(subset, key=columns.index)
+        return (measure(pairs(df, some, target)) if measure else weak_lower_of(df, some, target)).first()[0] or 0.0
 
     whole = value(columns) or 1.0
     return lambda subset: min(1.0, value(subset) / whole) if subset else 0.0
 
 
-def _near_by_class(k: int, spread: list[float]):
-    """Of each row that asks the ``k`` nearest rows of each class of a block, its own key left out, with the differences by column."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                x, y = vectors(batch, "q_vectors", i, len(spread)), vectors(batch, "vectors", i, len(spread))
-                asked, own, keys, classes = (batch.column(c)[i].values for c in ("q_k", "q_c", "k", "c"))
-                order = order_of(keys)
-                keys, classes, y = keys.take(pa.array(order)), classes.take(pa.array(order)), y[order]
-                d = np.stack([np.abs(y[None, :, a] - x[:, a, None]) / width for a, width in enumerate(spread)], axis=2)
-                d[np.isnan(d)] = 0.5
-                far = np.zeros(d.shape[:2])
-                for a in range(len(spread)):
-                    far += d[:, :, a]
-                far[same(asked, keys)] = np.inf
-                found = []
-                for label in classes.unique():
-                    at = np.flatnonzero(same(pa.array([label.as_py()], classes.type), classes)[0])
-                    best = at[np.argsort(far[:, at], axis=1, kind="stable")[:, :k]]
-                    found.append((np.repeat(np.arange(len(x)), best.shape[1]), best.ravel()))
-                r, c = (np.concatenate(v) for v in zip(*found))
-                kept = np.isfinite(far[r, c])
-                r, c = r[kept], c[kept]
-                parts = pa.ListArray.from_arrays(pa.array(np.arange(len(r) + 1) * len(spread), pa.int32()), pa.array(d[r, c].ravel()))
-                yield pa.RecordBatch.from_arrays([asked.take(pa.array(r)), own.take(pa.array(r)), classes.take(pa.array(c)), keys.take(pa.array(c)), pa.array(far[r, c]), parts], names=["q", "qc", "c", "k", "far", "d"])
-
-    return run
+def _summed(spread: list[float]):
+    """The negative of the sum of differences of rows by their vectors, an unknown one being 0.5, and the nearest that differences by column allow."""
+
+    def exact(x, y):
+        far = np.zeros((len(x), len(y)))
+        for c, width in enumerate(spread):
+            d = np.abs(y[None, :, c] - x[:, c, None]) / width
+            far += np.where(np.isnan(d), 0.5, d)
+        return -far
+
+    return exact, lambda least, most: -np.minimum(least / np.array(spread), 1).sum(1)
 
 
 def relief_scores(df: DataFrame, key: str, columns: list[str], target: str, k: int = 10, most: int | None = None, seed: int = 1) -> DataFrame:
     """(attribute, weight): how much better attributes tell a row's nearest rows of other classes apart than those of its own.
 
     All rows (or, if ``most`` is given, as many by their keys' digests) are compared with all others by the sum of
-    range-scaled differences. A null differs by 0.5. Ties go to the smaller key. Blocks of rows meet, and a meeting gives
-    back k rows for each row and class.
+    range-scaled differences. A null differs by 0.5. Ties go to the smaller key. Blocks of rows that can hold a nearest row
+    of a class meet, and what comes of it is k rows for each row and class.
     """
     s = statistics(df, columns)
     known = df.where(F.col(target).isNotNull() & F.col(key).isNotNull())
@@ -158,9 +188,13 @@ def relief_scores(df: DataFrame, key: str, columns: list[str], target: str, k: i
     spread = [float((s[c]["max"] or 0) - (s[c]["min"] or 0)) or 1.0 for c in columns]
     rows = known.select(F.col(key).alias("k"), F.col(target).alias("c"), *columns)
     some = rows if most is None else rows.orderBy(F.md5(F.concat(F.lit(f"{seed}|"), F.col("k").cast("string"))), "k").limit(most)
-    kinds = [rows.schema[c].dataType.simpleString() for c in ("k", "c")]
-    near = met(packed(some, ["k", "c"], columns, "q_"), packed(rows, ["k", "c"], columns), _near_by_class(k, spread), f"q {kinds[0]}, qc {kinds[1]}, c {kinds[1]}, k {kinds[0]}, far double, d array<double>")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q", "c").orderBy("far", "k"))).where(F.col("r") <= k)
+    values = [f"_{i}" for i in range(len(columns))]
+    doubles = lambda df, prefix: df.select("k", "c", *[F.col(c).cast("double").alias(f"{prefix}{v}") for c, v in zip(columns, values)])
+    asked = doubles(some, "q").withColumnsRenamed({"k": "q", "c": "qc"})
+    asked, there = placed(asked, ["q", "qc", *[f"q{v}" for v in values]], [f"q{v}" for v in values], BLOCK, "qc"), placed(doubles(rows, "y"), ["k", "c", *[f"y{v}" for v in values]], [f"y{v}" for v in values], BLOCK, "c")
+    # unknown values are half a range away, so a column's bound of them is one
+    near = closest(asked, there, ["q", "qc", *[f"q{v}" for v in values]], ["k", "c", *[f"y{v}" for v in values]], *_summed(spread), k=k, relation="each", key=("q", "k"), by=("qc", "c"), unknown=max(spread))
+    near = near.withColumn("d", F.array(*[F.coalesce(F.abs(F.col(f"y{v}") - F.col(f"q{v}")) / width, F.lit(0.5)) for v, width in zip(values, spread)]))
     means = near.groupBy("q", "qc", "c").agg(*[F.avg(F.col("d")[i]).alias(f"d_{c}") for i, c in enumerate(columns)])
     prior = F.col("n") / total
     own = counts.select(F.col("c").alias("qc"), prior.alias("own"))

@@ -18,18 +18,18 @@ from .staging import cut
 BLOCK = 1024
 
 
-def packed(df: DataFrame, names: list[str], columns: list[str], prefix: str = "") -> DataFrame:
+def packed(df: DataFrame, names: list[str], columns: list[str], prefix: str = "", size: int | None = None) -> DataFrame:
     """Blocks of ``df``: a list of each of ``names``, and ``vectors``, the doubles of ``columns`` with nulls as NaN."""
     kinds = {n: df.schema[n].dataType.simpleString() for n in names}
-    nan = F.lit(float("nan"))
+    nan, size = F.lit(float("nan")), size or BLOCK
     rows = df.select(*names, F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in columns]).cast("array<double>").alias("_v"))
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for a in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(a, BLOCK)
+            for a in range(0, batch.num_rows, size):
+                part = batch.slice(a, size)
                 lists = [pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column(n)) for n in names]
                 yield pa.RecordBatch.from_arrays([*lists, pa.array([np.asarray(part.column("_v").flatten(), np.float64).tobytes()], pa.binary())], names=[*[prefix + n for n in names], prefix + "vectors"])
 

@@ -36,8 +36,11 @@ def test_closest(spark, relation, k):
 
 
 def test_few_blocks_meet(spark):
-    df = spark.createDataFrame([r for r in table(6000) if r[1] is not None], "i long, x double, y double, c string")
-    blocks = M.placed(df, ["i", "c"], ["x", "y"], 50, "c")
-    n = blocks.count()
-    pairs = blocks.mapInArrow(M._wanted_pairs(M._boxes(blocks), closeness, "enemy", 1, 0.0), "_a long, _b long, _best double").count()
-    assert n > 100 and pairs < 25 * n
+    """Meetings of a block stay about as many when there are four times as many rows."""
+    share = []
+    for size in (3000, 12000):
+        df = spark.createDataFrame([r for r in table(size) if r[1] is not None], "i long, x double, y double, c string")
+        blocks = M.placed(df, ["i", "c"], ["x", "y"], 25, "c")
+        pairs = blocks.mapInArrow(M._wanted_pairs(M._boxes(blocks), closeness, "enemy", 1, 0.0), "_a long, _b long, _best double").count()
+        share.append(pairs / blocks.count())
+    assert share[1] < 1.5 * share[0]
