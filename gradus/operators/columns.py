@@ -431,7 +431,11 @@ def fit_principal_components(df: DataFrame, columns: list[str], standardize: boo
     row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(z[a] * z[b]).alias(f"p{i}") for i, (a, b) in enumerate(pairs)]).first()
     m = np.zeros((len(columns), len(columns)))
     for i, (a, b) in enumerate(pairs):
-        m[columns.index(a), columns.index(b)] = m[columns.index(b), columns.index(a)] = (row[f"p{i}"] or 0.0) / max(1, row["n"] - 1)
+        value = (row[f"p{i}"] or 0.0) / max(1, row["n"] - 1)
+        if standardize and a == b and value > 0:
+            # what it is exactly: the error of a long sum, beside small correlations, would turn the components
+            value = (s[a]["count"] - 1) / max(1, row["n"] - 1)
+        m[columns.index(a), columns.index(b)] = m[columns.index(b), columns.index(a)] = value
     values, vectors = np.linalg.eigh(m)
     values, vectors = np.maximum(values[::-1], 0), vectors[:, ::-1]
     kept = int(np.searchsorted(np.cumsum(values) / (values.sum() or 1), variance - 1e-12) + 1)

@@ -162,6 +162,17 @@ def test_principal_components_against_numpy(spark):
     assert np.linalg.matrix_rank(np.hstack([z, out]), 1e-6) == 3
 
 
+def test_principal_components_of_hardly_correlated_columns(spark):
+    """Two standardised columns have the loads 1 / sqrt(2) however small their correlation is; errors of sums don't turn them."""
+    df = spark.range(7 * 11 * 50).select("id", (F.col("id") % 7 * 0.1).alias("a"), (F.floor(F.col("id") / 7) % 11 * 0.3 + F.col("id") % 7 * 1e-9).alias("b"))
+    apply, values = C.fit_principal_components(df, ["a", "b"], variance=1.0)
+    x = np.array([[r.a, r.b] for r in df.orderBy("id").collect()])
+    z = (x - x.mean(0)) / x.std(0, ddof=1)
+    out = np.array([[r.PC1, r.PC2] for r in apply(df).orderBy("id").collect()])
+    assert sum(values) == 2.0
+    assert np.abs(out - np.stack([z[:, 0] + z[:, 1], z[:, 0] - z[:, 1]], 1) / np.sqrt(2)).max() < 1e-9
+
+
 def test_labels_of_many_cuts(spark):
     """Conditions of 3,000 cuts nest in steps, and a value equal to a cut belongs below it."""
     cuts = [float(i) for i in range(3000)]
