@@ -6,7 +6,7 @@ from collections.abc import Callable
 from math import erf, exp, lgamma, log, sqrt
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tails import chi_square_p_value
@@ -118,23 +118,29 @@ def paired(results: DataFrame, base: str, value: str, by: tuple[str, ...] = ("da
     return out.withColumn("t", F.when(F.col("sd_diff") > 0, F.col("mean_diff") / (F.col("sd_diff") * F.sqrt(share))))
 
 
-def mid_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
-    """Ranks from 1 by ``value`` within ``by``, ties sharing their mean.
+def _same(names: list[str]) -> list[Column]:
+    return [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
+
+
+def _value_ranks(counts: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """(.., value, _twice): twice the mid-rank within ``by`` of each value, whose rows are ``_n``.
 
-    Equal values are counted first; the counts are summed up over 1024 ranges of the values of a group and inside each,
-    so that no task sorts the rows of a group.
+    The counts are summed up over 1024 ranges of the values of a group and inside each, so that no task holds a group.
     """
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    span = Window.partitionBy(*by)
-    low, high = F.min(value).over(span), F.max(value).over(span)
-    cell = F.when(high > low, F.floor((F.col(value) - low) / (high - low) * 1023)).otherwise(F.lit(0))
-    counts = counts.withColumn("_cell", cell)
+    edges = counts.groupBy(*by).agg(F.min(value).alias("_low"), F.max(value).alias("_high"))
+    cell = F.when(F.col("_high") > F.col("_low"), F.floor((F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low")) * 1023)).otherwise(F.lit(0))
+    counts = counts.alias("l").join(edges.alias("r"), _same(by)).select(*[F.col(f"l.{c}") for c in [*by, value, "_n"]], cell.alias("_cell"))
     cells = counts.groupBy(*by, "_cell").agg(F.sum("_n").alias("_m"))
     cells = cells.withColumn("_before", F.sum("_m").over(Window.partitionBy(*by).orderBy("_cell")) - F.col("_m")).drop("_m")
     inside = F.sum("_n").over(Window.partitionBy(*by, "_cell").orderBy(value)) - F.col("_n")
-    same = lambda names: [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in names]
-    ranks = counts.withColumn("_inside", inside).alias("l").join(cells.alias("r"), same([*by, "_cell"]))
-    ranks = ranks.select(*[F.col(f"l.{c}").alias(f"_{c}_") for c in [*by, value]], (F.col("r._before") + F.col("l._inside") + (F.col("l._n") + 1) / 2).alias(name))
+    ranks = counts.withColumn("_inside", inside).alias("l").join(cells.alias("r"), _same([*by, "_cell"]))
+    return ranks.select(*[F.col(f"l.{c}") for c in [*by, value]], (2 * (F.col("r._before") + F.col("l._inside")) + F.col("l._n") + 1).alias("_twice"))
+
+
+def mid_ranks(df: DataFrame, value: str, by: list[str], name: str = "rank") -> DataFrame:
+    """Ranks from 1 by ``value`` within ``by``, ties sharing their mean; no task sorts the rows of a group."""
+    ranks = _value_ranks(df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n")), value, by)
+    ranks = ranks.select(*[F.col(c).alias(f"_{c}_") for c in [*by, value]], (F.col("_twice") / 2).alias(name))
     return df.join(ranks, [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in [*by, value]]).drop(*[f"_{c}_" for c in [*by, value]])
 
 
@@ -160,10 +166,15 @@ def wilcoxon(pairs: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
 
 def mann_whitney(df: DataFrame, value: str, group: str, by: list[str]) -> DataFrame:
     """(.., n1, n2, u, z) of the smaller-named group against the other, by mid-ranks and the normal approximation."""
-    r = mid_ranks(df, value, by)
-    first = F.min(group).over(Window.partitionBy(*by))
-    r = r.withColumn("_first", F.col(group) == first)
-    out = r.groupBy(*by).agg(F.count(F.when(F.col("_first"), 1)).alias("n1"), F.count(F.when(~F.col("_first"), 1)).alias("n2"), F.sum(F.when(F.col("_first"), F.col("rank")).otherwise(0.0)).alias("_r"))
+    counts = df.groupBy(*by, value, group).agg(F.count(F.lit(1)).alias("_k"))
+    ranks = _value_ranks(counts.groupBy(*by, value).agg(F.sum("_k").alias("_n")), value, by)
+    r = counts.alias("l").join(ranks.alias("r"), _same([*by, value])).select(*[F.col(f"l.{c}") for c in [*by, group, "_k"]], (F.col("r._twice").cast("decimal(38,0)") * F.col("l._k")).cast("decimal(38,0)").alias("_t"))
+    # rows and twice the ranks' sum of each group, which are whole numbers
+    sums = r.groupBy(*by, group).agg(F.sum("_k").alias("_k"), F.sum("_t").alias("_t"))
+    first = F.col(group) == F.min(group).over(Window.partitionBy(*by))
+    sums = sums.withColumn("_first", first)
+    count = lambda which: F.coalesce(F.sum(F.when(which, F.col("_k"))), F.lit(0).cast("long"))
+    out = sums.groupBy(*by).agg(count(F.col("_first")).alias("n1"), count(~F.col("_first")).alias("n2"), (F.coalesce(F.sum(F.when(F.col("_first"), F.col("_t"))).cast("double"), F.lit(0.0)) / 2).alias("_r"))
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     out = out.withColumn("u", F.col("_r") - n1 * (n1 + 1) / 2).drop("_r")
     return out.withColumn("z", (F.col("u") - n1 * n2 / 2) / F.sqrt(n1 * n2 * (n1 + n2 + 1) / 12))

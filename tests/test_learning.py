@@ -230,3 +230,32 @@ def test_tests_of_odd_results(spark):
     found = {(r.dataset, r.scheme): (r.t, r.p_value, r.verdict) for r in X.paired_tested(df, "a", "value").collect()}
     assert found == {("d", "b"): (None, None, 0), ("d", "c"): (None, None, 1), ("e", "b"): (None, None, 0)}
     assert {r.scheme: (r.wins, r.ties, r.losses) for r in X.cross_table(X.paired_tested(df, "a", "value")).collect()} == {"b": (0, 2, 0), "c": (0, 0, 1)}
+
+
+def test_draws_are_staged(spark):
+    """A scheme reads drawn rows many times: they come from a stage, not from the table and its windows anew."""
+    rows = spark.range(60).selectExpr("id AS k", "if(id % 3 = 0, 'a', 'b') AS c", "concat('v', id % 4) AS x")
+    d = U.Definition({"t": {"table": "t", "key": "k", "target": "c", "columns": ["x"]}}, ["naive_bayes"], "learning_rate", last=1, folds=2, lower=20, step=20, upper=40)
+    found = U.results(d, lambda _: rows)
+    assert "_cell" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.total, r.n + r.size) for r in found.collect()) == [(20, 20), (20, 20), (40, 40), (40, 40)]
+
+
+@pytest.mark.parametrize("size", [0, 1, 499, 3000, 9000])
+def test_resample_takes_the_smallest_draws(spark, size):
+    from gradus.operators import rows as R
+
+    df = spark.range(9000).withColumnRenamed("id", "k")
+    draws = sorted((r.d, r.k) for r in df.select("k", R.draw("k", 3).alias("d")).collect())
+    assert sorted(r.k for r in R.resample(df, "k", size, 3).collect()) == sorted(k for _, k in draws[:size])
+
+
+def test_mann_whitney_without_windows_over_a_group(spark):
+    """Against counting pairs, with ties and nulls of the group's columns; no window holds the rows of a group."""
+    rows = [(None if i % 5 == 0 else i % 2, float(i * 7 % 13), "uvv"[i % 3]) for i in range(60)]
+    found = X.mann_whitney(spark.createDataFrame(rows, "g int, v double, s string"), "v", "s", ["g"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any("Window [" in line and ("min(v" in line or "max(v" in line) for line in plan.splitlines())
+    for r in found.collect():
+        a, b = ([v for g, v, s in rows if g == r.g and s == t] for t in "uv")
+        assert (r.n1, r.n2, r.u) == (len(a), len(b), sum((x > y) + (x == y) / 2 for x in a for y in b))
