@@ -19,6 +19,18 @@ SIMILARITIES = {
     "equal": lambda x, y, s: np.where(np.isnan(x) | np.isnan(y), np.nan, x == y),
     "squared": lambda x, y, s: (x - y) * (x - y),
 }
+IMPLICATORS = {
+    "lukasiewicz": lambda a, b: np.minimum(1.0, 1 - a + b),
+    "kleene_dienes": lambda a, b: np.maximum(1 - a, b),
+    "reichenbach": lambda a, b: 1 - a + a * b,
+    "goedel": lambda a, b: np.where(a <= b, 1.0, b),
+    "gaines": lambda a, b: np.where(a <= b, 1.0, b / np.where(a == 0, 1.0, a)),
+}
+
+
+def quantifier(x: np.ndarray, alpha: float = 0.2, beta: float = 1.0) -> np.ndarray:
+    mid, width = (alpha + beta) / 2, (beta - alpha) ** 2
+    return np.where(x <= alpha, 0.0, np.where(x <= mid, 2 * (x - alpha) ** 2 / width, np.where(x <= beta, 1 - 2 * (x - beta) ** 2 / width, 1.0)))
 
 
 def similarities(x: np.ndarray, y: np.ndarray, kind: str, norm: str, stats: list[dict]) -> np.ndarray:

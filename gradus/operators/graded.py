@@ -14,14 +14,20 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import IMPLICATORS as ARRAY_IMPLICATORS
+from ..functions.arrays import quantifier as quantiles
+from ..functions.arrays import similarities
 from ..functions.degrees import IMPLICATORS, SIMILARITIES, T_NORMS, _range, fold, quantifier
 from .columns import statistics
 from .measures import collapsed, enemies
-from .meetings import closest, placed
+from .meetings import closest, packed, placed, vectors
+from .meetings import same as alike
 from .staging import cut
 
 #: Rows in a block.
 BLOCK = 512
+#: Rows whose implications are ordered at once.
+STRIP = 16
 
 
 def graded_pairs(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz") -> DataFrame:
@@ -89,6 +95,60 @@ def weak_owa(pairs: DataFrame, implicator: str = "lukasiewicz", alpha: float = 0
     return low.agg((F.sum(F.col("low") * F.col("wx")) / F.sum("wx")).alias("weak_gamma_owa"))
 
 
+def weak_owa_of(df: DataFrame, columns: list[str], target: str, similarity: str = "linear", norm: str = "lukasiewicz", implicator: str = "lukasiewicz", alpha: float = 0.2, beta: float = 1.0) -> DataFrame:
+    """``weak_owa`` without the pairs: a block of rows gathers the vectors of all rows in its task, and orders the implications
+    of a few of its rows at once. Time is quadratic in the distinct rows; a task holds one vector for each of them."""
+    numeric = dict(df.dtypes)[target] in ("double", "float")
+    s = statistics(df, [*columns, target] if numeric else columns)
+    stats, width = [s[c] for c in columns], len(columns) + numeric
+    places = [f"_{i}" for i in range(width)]
+    rows = collapsed(df, columns, target)
+    rows = rows.select(F.col("_w").alias("wx"), F.col(target).alias("cx"), *[F.col(c).alias(p) for c, p in zip([*columns, target], places)])
+
+    def run(batches):
+        import pyarrow as pa
+
+        own, met = None, []
+
+        def out():
+            _, wx, cx, x = own
+            y, weight, cy = np.concatenate([m[0] for m in met]), np.concatenate([m[1] for m in met]), pa.concat_arrays([m[2] for m in met])
+            n, low = weight.sum(), np.zeros(len(x))
+            even = np.diff(quantiles(np.arange(len(y) + 1) / n, alpha, beta)) if (weight == 1).all() else None
+            for at in range(0, len(x), STRIP):
+                few = slice(at, at + STRIP)
+                if numeric:
+                    dec = similarities(x[few, -1:], y[:, -1:], "linear", norm, [s[target]])
+                else:
+                    dec = alike(cx[few], cy).astype(float)
+                i = ARRAY_IMPLICATORS[implicator](similarities(x[few, : len(columns)], y[:, : len(columns)], similarity, norm, stats), dec)
+                if even is not None:
+                    low[few] = np.sort(i, axis=1)[:, ::-1] @ even
+                else:
+                    order = np.argsort(-i, axis=1)
+                    upto = np.cumsum(weight[order], axis=1)
+                    share = quantiles(upto / n, alpha, beta) - quantiles((upto - weight[order]) / n, alpha, beta)
+                    low[few] = (np.take_along_axis(i, order, 1) * share).sum(1)
+            yield pa.RecordBatch.from_arrays([wx, pa.array(low)], names=["wx", "low"])
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = batch.column("q__block")[i].as_py()
+                if own is None or own[0] != block:
+                    if own is not None:
+                        yield from out()
+                    own, met = (block, *(batch.column(c)[i].values for c in ("q_wx", "q_cx")), vectors(batch, "q_vectors", i, width).copy()), []
+                met.append((vectors(batch, "vectors", i, width).copy(), batch.column("wx")[i].values.to_numpy().astype(float), batch.column("cx")[i].values))
+        if own is not None:
+            yield from out()
+
+    tasks = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    asked = cut(packed(rows, ["wx", "cx"], places, "q_", BLOCK).withColumn("q__block", F.monotonically_increasing_id()))
+    pairs = asked.hint("shuffle_replicate_nl").crossJoin(packed(rows, ["wx", "cx"], places)).repartition(tasks, "q__block").sortWithinPartitions("q__block")
+    low = pairs.mapInArrow(run, "wx long, low double")
+    return low.agg((F.sum(F.col("low") * F.col("wx")) / F.sum("wx")).alias("weak_gamma_owa"))
+
+
 def boundary_region(table: DataFrame, implicator: str = "lukasiewicz", norm: str = "lukasiewicz") -> DataFrame:
     """(boundary): 1 less the mean of upper less lower membership, over rows and classes, of ``measures.class_nearest``
     (or ``class_similarities``).

@@ -103,3 +103,18 @@ def test_class_similarities(spark, monkeypatch):
     assert abs(measures.discernibility(df, ["x", "y"], "c").first()[0] - (1 - sum(map(sum, enemy)) / n / (n - 1))) < 1e-9
     assert abs(measures.discernibility(df, ["x", "y"], "c", implicator="goedel").first()[0] - (1 - sum(v > 0 for e in enemy for v in e) / n / (n - 1))) < 1e-9
     assert measures.class_similarities(df.limit(0), ["x", "y"], "c").count() == 0
+
+
+@pytest.mark.parametrize("implicator", ["lukasiewicz", "kleene_dienes", "gaines"])
+def test_weak_owa_without_pairs(spark, monkeypatch, implicator):
+    """Blocks against the table of all pairs: repeated rows, unknown values, labels and numbers as the class."""
+    from gradus.operators import graded as G
+
+    monkeypatch.setattr(G, "BLOCK", 7)
+    monkeypatch.setattr(G, "STRIP", 3)
+    rows = [(None if i % 11 == 3 else (i * 7 % 10) / 10, float(i % 6), "abc"[i % 3] if i % 13 else None, float(i * 5 % 8)) for i in range(50)]
+    df = spark.createDataFrame(rows, "x double, y double, c string, t double").repartition(3)
+    for target in ("c", "t"):
+        found = G.weak_owa_of(df, ["x", "y"], target, implicator=implicator)
+        assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+        assert found.first()[0] == pytest.approx(G.weak_owa(G.graded_pairs(df, ["x", "y"], target), implicator).first()[0], abs=1e-9)
