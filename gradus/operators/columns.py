@@ -340,12 +340,29 @@ def fit_quartile_flags(df: DataFrame, column: str, outlier: float = 3.0, extreme
     return Fitted({}, {"q1": q1, "q3": q3, "outlier": out, "extreme": far})
 
 
+#: Words of a table that is sent to all tasks; a larger one meets the documents in a shuffle.
+FEW_WORDS = 1_000_000
+
+
+def _words(df: DataFrame, key: str, text: str, lower: bool = True) -> DataFrame:
+    """(key, word): texts are shuffled by key before they become words, which take several times as much, so that words are
+    counted where they are."""
+    x = F.lower(F.col(text)) if lower else F.col(text)
+    return df.select(key, text).repartition(key).select(key, F.explode(F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
+
+
+def _small(words: DataFrame) -> DataFrame:
+    """``words`` staged, and sent to all tasks if they are few."""
+    from .staging import cut
+
+    words = cut(words)
+    return F.broadcast(words) if words.count() <= FEW_WORDS else words
+
+
 def word_counts(df: DataFrame, key: str, text: str, lower: bool = True) -> DataFrame:
     """(key, word, n, tf, df) of every document, by exploding words; no vocabulary is gathered."""
-    x = F.lower(F.col(text)) if lower else F.col(text)
-    words = df.select(key, F.explode(F.regexp_extract_all(x, F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
-    counts = words.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
-    spread = counts.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
+    counts = _words(df, key, text, lower).groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
+    spread = _small(counts.groupBy("word").agg(F.count(F.lit(1)).alias("df")))
     return counts.join(spread, "word").select(key, "word", "n", F.log1p("n").alias("tf"), "df")
 
 
@@ -356,13 +373,15 @@ def word_vectors(df: DataFrame, key: str, text: str, dictionary: DataFrame | Non
     occur ``least`` times and are no stop words. ``tf`` takes log(1 + count), ``idf`` multiplies by log(documents /
     documents with the word), ``normalize`` scales each vector to the mean Euclidean length of all.
     """
-    tokens = df.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[A-Za-z0-9]+"), F.lit(0))).alias("word"))
+    tokens = _words(df, key, text)
     counts = tokens.groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     spread = counts.groupBy("word").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("df"))
     if dictionary is None:
         chosen = spread.where((F.col("total") >= least) & ~F.col("word").isin(*stop, "")).orderBy(F.desc("total"), "word").limit(words)
     else:
         chosen = spread.join(dictionary.select("word").distinct(), "word")
+    chosen = _small(chosen)
+    counts = tokens.join(chosen.select("word"), "word", "left_semi").groupBy(key, "word").agg(F.count(F.lit(1)).alias("n"))
     out = counts.join(chosen, "word").withColumn("weight", F.log1p("n") if tf else F.col("n").cast("double"))
     if idf:
         out = out.withColumn("weight", F.col("weight") * F.log(F.lit(float(df.count())) / F.col("df")))

@@ -180,3 +180,12 @@ def test_labels_of_many_cuts(spark):
     found = {r.x: r.b for r in rows.select("x", C.cut_label(F.col("x"), cuts).alias("b")).collect()}
     assert found == {x: int(np.searchsorted(cuts, x)) for x in found}
     assert spark.sql("select cast(null as double) x").select(C.cut_label(F.col("x"), cuts)).first()[0] is None
+
+
+def test_words_are_counted_where_the_texts_are(spark):
+    """Texts are shuffled, not words: neither counting nor the meeting with the dictionary is an exchange by word. Ids repeat."""
+    df = spark.createDataFrame([(1, "a b a"), (1, "A c"), (2, "b"), (3, None), (None, "a")], "k int, t string")
+    counts = C.word_counts(df, "k", "t")
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "word" in line]
+    assert sorted((str(r.k), r.word, r.n, r.df) for r in counts.collect()) == [("1", "a", 3, 2), ("1", "b", 1, 2), ("1", "c", 1, 1), ("2", "b", 1, 2), ("None", "a", 1, 2)]
