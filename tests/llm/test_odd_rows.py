@@ -190,3 +190,28 @@ def test_versions_of_a_license(spark):
     found = {(r["doc_id"], r["license"]) for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string"), {"gpl-3": three, "gpl-2": two}).collect()}
     assert found == {(1, "gpl-3"), (2, "gpl-2"), (3, "gpl-3"), (3, "gpl-2")}
     assert re.search("version 3", three)
+
+
+def test_documents_to_verify_are_filtered_before_they_are_dealt_out(spark):
+    ids = spark.range(0, 200_000, 100).withColumnRenamed("id", "doc_id")
+    passed = spark.range(200_000).withColumnRenamed("id", "doc_id").where(line_dedup._among(ids))
+    assert passed.join(ids, "doc_id", "left_semi").count() == 2000 and passed.count() < 2500
+
+
+def test_lines_at_the_bounds_of_size_classes(spark):
+    r, lines = random.Random(5), []
+    for n in [*range(3, 20), 51, 52, 63, 64, 65, 79, 80, 95, 96, 97, 120, 255, 256, 257, 320]:
+        words = [f"v{r.randrange(1 << 30)}" for _ in range(n)]
+        for change in {0, 1, n // 9, n // 5, n // 4}:
+            lines += [words[change:], [*words, *(f"u{r.randrange(1 << 30)}" for _ in range(change))], [*words[change:], *(f"u{r.randrange(1 << 30)}" for _ in range(change))]]
+    r.shuffle(lines)
+    docs = spark.createDataFrame([(i // 3, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, line string").groupBy("doc_id").agg(F.array_join(F.collect_list("line"), "\n").alias("text")).localCheckpoint()
+    want = set()
+    seen = []
+    for doc, text in sorted((x["doc_id"], x["text"]) for x in docs.collect()):
+        for i, line in enumerate(text.split("\n")):
+            s = set(line.split())
+            if any(180 * len(s & o) >= 80 * (len(s) + len(o)) for o in seen if s):
+                want.add((doc, i))
+            seen.append(s)
+    assert {tuple(x) for x in line_dedup.removed_lines(docs).collect()} == want
