@@ -51,6 +51,14 @@ def test_small_heads_and_equal_rows(spark, monkeypatch, kind, threshold):
     assert sorted(r.k for r in found.collect()) == walk(rows, kind, threshold, 0.0)
 
 
+def test_a_long_chain_of_combined_memberships(spark, monkeypatch):
+    rows, cuts = [(i, float(i), float(i == 0), None, "b" if i == 0 else "a") for i in range(25)], []
+    monkeypatch.setattr(P, "cut", lambda df: cuts.append(1) or cut(df))
+    found = P.prototypes(spark.createDataFrame(rows, ROWS), "k", ["x", "y"], "c", kind="combined", threshold=1 - 1.5 / 24)
+    assert sorted(r.k for r in found.collect()) == walk(rows, "combined", 1 - 1.5 / 24, 0.0)
+    assert len(cuts) <= 4
+
+
 def test_no_rows(spark):
     df = spark.createDataFrame([(1, 0.5, 1.0, "u", None)], ROWS)
     assert P.prototypes(df, "k", ["x"], "c").count() == P.prototypes(df.limit(0), "k", ["x"], "c").count() == 0
