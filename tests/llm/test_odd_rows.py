@@ -250,3 +250,20 @@ def test_groups_of_near_copies_of_all_sizes(spark):
     sets = [set(x.split()) for x in rows]
     want = {(i - 20, 0) for i, s in enumerate(sets) if any(180 * len(s & o) >= 80 * (len(s) + len(o)) for o in sets[:i])}
     assert {tuple(x) for x in line_dedup.removed_lines(docs).collect()} == want
+
+
+def test_top_k_copies_of_queries_are_not_broadcast(spark, monkeypatch):
+    plans, staged = [], topk.staged
+    monkeypatch.setattr(topk, "staged", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staged(df))
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 8)
+    if hasattr(topk, "HELD"):
+        monkeypatch.setattr(topk, "HELD", 10)
+    g = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in g.integers(-3, 4, 5) * (300 if i % 3 == 0 else 1) / 4]) for i in range(200)]
+    found = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(2), F.col("vec_id") % 9 == 0).collect()
+    whole = np.floor(np.array([r[1] for r in rows]) * 256).astype(np.int64)
+    scores = whole @ whole.T
+    want = [(q, rank + 1, c, int(scores[q, c])) for q in range(0, 200, 9) for rank, c in enumerate(sorted((c for c in range(200) if c != q), key=lambda c: (-scores[q, c], c))[:5])]
+    assert sorted(map(tuple, found)) == want
+    assert len(plans) == 3 and not [p for p in plans if "Broadcast" in p]
