@@ -127,7 +127,7 @@ def _gaps(low, high, holes, lows, highs, hole, unknown):
     return np.where(some, 0.0, least), np.where(some, np.fmax(np.where(np.isnan(most), 0.0, most), unknown), most)
 
 
-def _wanted_pairs(boxes: dict, closeness, relation: str, k: int, unknown: float):
+def _wanted_pairs(boxes: dict, closeness, relation: str, k: int, unknown: float, least: float = -np.inf):
     """For each block that asks the blocks that can hold some of what its rows want, with the greatest closeness to them.
 
     ``k`` rows at a closeness of ``least`` or more are surely there, so what cannot come as close isn't wanted.
@@ -141,8 +141,8 @@ def _wanted_pairs(boxes: dict, closeness, relation: str, k: int, unknown: float)
         for batch in batches:
             for r in batch.to_pylist():
                 own = [np.array([np.nan if v is None else v for v in r[c]]) for c in ("_low", "_high")]
-                least, most = _gaps(*own, np.array(r["_holes"]), low, high, hole, unknown)
-                best, worst = closeness(least, most), closeness(most, least)
+                near, far = _gaps(*own, np.array(r["_holes"]), low, high, hole, unknown)
+                best, worst = closeness(near, far), closeness(far, near)
                 mine = np.searchsorted(kinds, [c for c in r["_kinds"] if c in boxes["known"]])
                 if relation == "any":
                     groups = [total]
@@ -157,20 +157,21 @@ def _wanted_pairs(boxes: dict, closeness, relation: str, k: int, unknown: float)
                 for n in groups:
                     at = np.searchsorted(np.cumsum(n[order]), k)
                     reach = worst[order[at]] if at < len(order) else -np.inf
-                    wanted |= (n > 0) & (best >= reach - SLACK)
+                    wanted |= (n > 0) & (best >= max(reach, least) - SLACK)
                 found = np.flatnonzero(wanted)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), r["_block"])), pa.array(boxes["_block"][found]), pa.array(best[found])], names=["_a", "_b", "_best"])
 
     return run
 
 
-def closest(asked: DataFrame, others: DataFrame, ask: list[str], give: list[str], exact, closeness, k: int = 1, relation: str = "any", key: tuple[str, str] | None = None, by: tuple[str, str] | None = None, unknown: float = 0.0) -> DataFrame:
+def closest(asked: DataFrame, others: DataFrame, ask: list[str], give: list[str], exact, closeness, k: int = 1, relation: str = "any", key: tuple[str, str] | None = None, by: tuple[str, str] | None = None, unknown: float = 0.0, least: float = -np.inf) -> DataFrame:
     """(ask.., give.., _close): for each row of ``asked`` its ``k`` closest rows of ``others``; both are of ``placed``.
 
     ``relation`` says among which: ``any``, those of another or of the same value of ``by`` (``enemy``, ``friend``), or those of
     ``each`` value of it. ``key`` names the columns whose equality leaves a row out as the row itself; of ties the smaller key
     comes first. ``exact`` gives the closeness of two lists of vectors, ``closeness`` the greatest that the least and the greatest
-    differences by column allow (and, of those the other way round, the least); ``unknown`` is the greatest difference to an unknown value. Names of ``asked`` and ``others`` have to differ.
+    differences by column allow (and, of those the other way round, the least); ``unknown`` is the greatest difference to an unknown value. Rows
+    less close than ``least`` aren't sought. Names of ``asked`` and ``others`` have to differ.
 
     The search is exact. Blocks are compared by their bounds first (the driver holds the bounds of the ``others``, one for
     each block), and only blocks that can hold a closest row meet, best first; rows that a block cannot better stay out. A
@@ -183,11 +184,11 @@ def closest(asked: DataFrame, others: DataFrame, ask: list[str], give: list[str]
     if boxes is None:
         return asked.sparkSession.createDataFrame([], schema)
     parts = max(32, int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
-    pairs = asked.select("_block", "_low", "_high", "_holes", "_kinds").mapInArrow(_wanted_pairs(boxes, closeness, relation, k + (key is not None), unknown), "_a long, _b long, _best double")
+    pairs = asked.select("_block", "_low", "_high", "_holes", "_kinds").mapInArrow(_wanted_pairs(boxes, closeness, relation, k + (key is not None), unknown, least), "_a long, _b long, _best double")
     there = others.select(F.col("_block").alias("_b"), F.col("_low"), F.col("_high"), F.col("_holes"), *dict.fromkeys([*give, *([key[1]] if key else []), *([by[1]] if by else [])]), "_vectors")
     here = asked.select(F.col("_block").alias("_a"), *dict.fromkeys([*ask, *([key[0]] if key else []), *([by[0]] if by else [])]), F.col("_vectors").alias("_q_vectors"))
     met = pairs.join(there, "_b").join(here, "_a").repartition(parts, "_a").sortWithinPartitions("_a", F.col("_best").desc())
-    return met.mapInArrow(_keep_closest(ask, give, exact, closeness, k, relation, key, by, unknown), schema)
+    return met.mapInArrow(_keep_closest(ask, give, exact, closeness, k, relation, key, by, unknown, least), schema)
 
 
 def _boxes(others: DataFrame) -> dict | None:
@@ -202,7 +203,7 @@ def _boxes(others: DataFrame) -> dict | None:
     return {"_block": np.array([r["_block"] for r in rows]), "_low": numbers("_low"), "_high": numbers("_high"), "_holes": np.array([r["_holes"] for r in rows], bool), "_kinds": known, "known": set(known.tolist()), "_counts": counts}
 
 
-def _keep_closest(ask, give, exact, closeness, k, relation, key, by, unknown):
+def _keep_closest(ask, give, exact, closeness, k, relation, key, by, unknown, least):
     def run(batches):
         import pyarrow as pa
 
@@ -213,7 +214,7 @@ def _keep_closest(ask, give, exact, closeness, k, relation, key, by, unknown):
                 if state is None or state.a != a:
                     if state is not None:
                         yield from state.out()
-                    state = _Best(a, batch, i, ask, give, exact, closeness, k, relation, key, by, unknown, pa)
+                    state = _Best(a, batch, i, ask, give, exact, closeness, k, relation, key, by, unknown, least, pa)
                 state.meet(batch, i)
         if state is not None:
             yield from state.out()
@@ -224,14 +225,14 @@ def _keep_closest(ask, give, exact, closeness, k, relation, key, by, unknown):
 class _Best:
     """What is closest so far to the rows of a block."""
 
-    def __init__(self, a, batch, i, ask, give, exact, closeness, k, relation, key, by, unknown, pa):
+    def __init__(self, a, batch, i, ask, give, exact, closeness, k, relation, key, by, unknown, least, pa):
         self.a, self.exact, self.closeness, self.k, self.relation, self.key, self.by, self.unknown, self.give, self.pa = a, exact, closeness, k, relation, key, by, unknown, give, pa
         self.names, self.raw = [*ask, *give, "_close"], batch.column("_q_vectors")[i].as_py()
         self.asked = {n: batch.column(n)[i].values for n in dict.fromkeys([*ask, *([key[0]] if key else []), *([by[0]] if by else [])])}
         self.ask = ask
         self.rows = len(next(iter(self.asked.values())))
         self.x = np.frombuffer(self.raw).reshape(self.rows, -1)
-        self.least: dict = {}
+        self.floor, self.least = least, {}
         self.found: list = []
         self.held = 0
 
@@ -250,7 +251,7 @@ class _Best:
             self._take(None, best, lists, y)
 
     def _take(self, group, best, lists, y):
-        least = self.least.setdefault(group, np.full((self.rows, self.k), -np.inf))
+        least = self.least.setdefault(group, np.full((self.rows, self.k), self.floor))
         rows = np.flatnonzero(best >= least[:, -1] - SLACK)
         if not len(rows):
             return

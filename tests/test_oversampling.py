@@ -1,6 +1,7 @@
 """Synthetic rows by memberships against brute force, in small blocks and on odd rows."""
 
 from collections import Counter
+from hashlib import md5
 
 import numpy as np
 import pytest
@@ -63,6 +64,31 @@ def test_rows_in_the_box_belong_to_their_class(spark, monkeypatch, average):
     assert not [r for r in new if r.c == "a"]
 
 
+@pytest.mark.parametrize("average", [False, True])
+def test_later_candidates_are_drawn_where_the_earlier_do_not_fit(spark, monkeypatch, average):
+    rows, tried, placed = table(4), [], B._placed
+    monkeypatch.setattr(B, "_placed", lambda df, names, *rest: (tried.append(df.count()) if names.get("id") else None) or placed(df, names, *rest))
+    out = B.oversample_in_box(spark.createDataFrame(rows, ROWS).repartition(3), "k", ["x", "y"], "c", ["s"], average=average).where("k is null").collect()
+    u = lambda *p: int(md5("|".join(map(str, (1, *p))).encode()).hexdigest()[:13], 16) / 2**52
+    spread, sizes, want, slots, tries = spreads(rows), Counter(r[4] for r in rows if r[4]), [], 0, 0
+    for c in "bc":
+        own = [r for r in rows if r[4] == c]
+        levels = [membership(r, rows, spread) for r in own]
+        level = round(sum(levels) / len(levels) if average else min(levels), 9)
+        low, high = ([f(r[i] for r in own if r[i] is not None) for i in (1, 2)] for f in (min, max))
+        for slot in range(1, sizes["a"] - sizes[c] + 1):
+            slots += 1
+            for i in range(1, 12):
+                tries += 1
+                row = (None, *(low[j] + u(c, slot, i, j) * (high[j] - low[j]) for j in (0, 1)), "uvw"[int(u(c, slot, i, 2) * 3)], c)
+                if membership(row, rows, spread) >= level:
+                    want.append(row)
+                    break
+    key = lambda r: (r[4], r[3], round(r[1], 9), round(r[2], 9))
+    assert sorted(map(key, out)) == sorted(map(key, want))
+    assert tries <= sum(tried) < 11 * slots
+
+
 def test_rows_from_pairs(spark, monkeypatch):
     monkeypatch.setattr(B, "BLOCK", 16)
     rows = table()
